@@ -1,0 +1,5 @@
+"""Empty on purpose: all inputs of this engine are batch tables.
+
+The analytics it rebuilds have no stream source, watermark or state, so there
+is nothing to express with Structured Streaming.
+"""
