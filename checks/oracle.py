@@ -523,11 +523,11 @@ for name, level in (("gpu_power_temp_bins", "0.0"), ("gpu_power_temp_bins_95", "
     add(name, "samples hardware", bins(level) + """;;
 SELECT slot, power_bin, round(mean_temp, 6) AS mean_temp, samples FROM binned""")
 add("gpu_temp_at_100", "samples hardware", bins("0.0") + """,
-at AS (SELECT * FROM binned WHERE power_bin = 100 AND mean_temp IS NOT NULL);;
-SELECT (SELECT slot FROM at ORDER BY mean_temp, slot LIMIT 1) AS coolest_slot,
-  (SELECT round(min(mean_temp), 6) FROM at) AS coolest_temp,
-  (SELECT slot FROM at ORDER BY mean_temp DESC, slot LIMIT 1) AS hottest_slot,
-  (SELECT round(max(mean_temp), 6) FROM at) AS hottest_temp""")
+level AS (SELECT * FROM binned WHERE power_bin = 100 AND mean_temp IS NOT NULL);;
+SELECT (SELECT slot FROM level ORDER BY mean_temp, slot LIMIT 1) AS coolest_slot,
+  (SELECT round(min(mean_temp), 6) FROM level) AS coolest_temp,
+  (SELECT slot FROM level ORDER BY mean_temp DESC, slot LIMIT 1) AS hottest_slot,
+  (SELECT round(max(mean_temp), 6) FROM level) AS hottest_temp""")
 
 # --- peers --------------------------------------------------------------------
 
