@@ -30,16 +30,13 @@ def slot_ratios(
     wide = with_hardware(samples, hardware).where(
         (F.col("gpu_node") == 1) & (F.col("gpu_count") >= min_cards)
     )
-    return wide.select(
+    return wide.selectExpr(
         "prom_id",
         "node",
         "timestamp",
         "gpu_count",
-        *[
-            ratio(F.col(f"{POWER}_{i}") / 1000, F.col("gpu_tdp_per_card")).alias(f"power_{i}")
-            for i in slots
-        ],
-        *[temperature_ratio(f"{HEAT}_{i}", "gpu_temp_max").alias(f"temp_{i}") for i in slots],
+        *[f"{ratio(f'{POWER}_{i} / 1000', 'gpu_tdp_per_card')} AS power_{i}" for i in slots],
+        *[f"{temperature_ratio(f'{HEAT}_{i}', 'gpu_temp_max')} AS temp_{i}" for i in slots],
     )
 
 

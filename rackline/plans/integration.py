@@ -92,9 +92,14 @@ def integrate(
 
     All columns of both sides are available; unused ones are pruned from the
     scans, so no second join is needed to get wide columns back.
+
+    The job table is usually one small file, and its rows multiply when node
+    lists and time buckets are exploded; it is spread by job id before that, so
+    that this is not the work of a single task.
     """
     inside_jobs, inside_samples = restrict_to_window(jobs, samples, window)
-    return interval_join(inside_samples, job_side(inside_jobs), bucket_seconds=bucket_seconds)
+    intervals = job_side(inside_jobs.repartition("id"))
+    return interval_join(inside_samples, intervals, bucket_seconds=bucket_seconds)
 
 
 def with_concurrency(job_samples: DataFrame, out: str = "concurrent_job_count") -> DataFrame:

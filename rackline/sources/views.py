@@ -7,153 +7,129 @@ derivations are deterministic integer arithmetic or exact constants.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SLOTS = (0, 1, 2, 3)
 GPU_RACKS = (16, 17, 18, 19)
 GPU_NODES = tuple(f"r{rack}n{n}" for rack in GPU_RACKS for n in range(1, 7))
 
 
-def _node_name(index: Column) -> Column:
-    rack = (F.lit(10) + F.floor(index / 6)).cast("string")
-    slot = (F.lit(1) + index % 6).cast("string")
-    return F.concat(F.lit("r"), rack, F.lit("n"), slot)
+# SQL text of the node name for a node index 0..59.
+NODE_NAME = "concat('r', 10 + {0} DIV 6, 'n', 1 + {0} % 6)"
 
 
 def samples(spark: SparkSession, base: str) -> DataFrame:
     """Node samples: one row per event, 60 nodes in 10 racks, r16-r19 with GPUs."""
-    events = spark.read.parquet(f"{base}/events.parquet")
-    index = (F.col("user_id") * 7) % 60
-    gpu = F.when(index >= 36, 1).otherwise(0)
-    value, event = F.col("value"), F.col("event_id")
-    power = [gpu * (value + F.lit(10.0 * i)) * 1000 for i in SLOTS]
-    heat = [gpu * (F.lit(25.0 + i) + value / 8) for i in SLOTS]
-    return events.select(
-        event.alias("prom_id"),
-        _node_name(index).alias("node"),
-        F.col("ts").alias("timestamp"),
-        gpu.alias("gpu_node"),
-        (F.lit(20) + event % 8).cast("double").alias("node_ambient_temp"),
-        (F.lit(80) + value).alias("node_power_usage"),
-        (value / 4).alias("node_load1"),
-        (F.lit(40) + value / 2).alias("node_rapl_package_power_sum"),
-        (value * F.lit(5e8)).alias("node_memory_Active_bytes"),
+    power = [f"gpu_node * (value + {10 * i}) * 1000" for i in SLOTS]
+    heat = [f"gpu_node * ({25 + i} + value / 8)" for i in SLOTS]
+    events = spark.read.parquet(f"{base}/events.parquet").selectExpr(
+        "event_id",
+        "ts",
+        "value",
+        "(user_id * 7) % 60 AS ni",
+        "CASE WHEN (user_id * 7) % 60 >= 36 THEN 1 ELSE 0 END AS gpu_node",
+    )
+    return events.selectExpr(
+        "event_id AS prom_id",
+        f"{NODE_NAME.format('ni')} AS node",
+        "ts AS timestamp",
+        "gpu_node",
+        "double(20 + event_id % 8) AS node_ambient_temp",
+        "80 + value AS node_power_usage",
+        "value / 4 AS node_load1",
+        "40 + value / 2 AS node_rapl_package_power_sum",
+        "value * 5e8D AS node_memory_Active_bytes",
         *[
-            (F.lit(base_temp) + value / div).alias(f"{metric}_{stat}")
-            for metric, base_temp in (
-                ("node_thermal_zone_temp", 30.0),
-                ("node_hwmon_temp_celsius", 28.0),
-            )
-            for stat, div in (("min", 10), ("mean", 9), ("max", 8))
+            f"{floor} + value / {share} AS {metric}_{stat}"
+            for metric, floor in (("node_thermal_zone_temp", 30), ("node_hwmon_temp_celsius", 28))
+            for stat, share in (("min", 10), ("mean", 9), ("max", 8))
         ],
-        (power[0] + power[1] + power[2] + power[3]).alias("nvidia_gpu_power_usage_milliwatts_sum"),
-        (gpu * value * F.lit(2e8)).alias("nvidia_gpu_memory_used_bytes_sum"),
-        heat[0].alias("nvidia_gpu_temperature_celsius_min"),
-        ((heat[0] + heat[1] + heat[2] + heat[3]) / 4).alias("nvidia_gpu_temperature_celsius_mean"),
-        heat[3].alias("nvidia_gpu_temperature_celsius_max"),
-        *[power[i].alias(f"nvidia_gpu_power_usage_milliwatts_{i}") for i in SLOTS],
-        *[heat[i].alias(f"nvidia_gpu_temperature_celsius_{i}") for i in SLOTS],
+        f"{' + '.join(power)} AS nvidia_gpu_power_usage_milliwatts_sum",
+        "gpu_node * value * 2e8D AS nvidia_gpu_memory_used_bytes_sum",
+        f"{heat[0]} AS nvidia_gpu_temperature_celsius_min",
+        f"({' + '.join(heat)}) / 4 AS nvidia_gpu_temperature_celsius_mean",
+        f"{heat[-1]} AS nvidia_gpu_temperature_celsius_max",
+        *[f"{power[i]} AS nvidia_gpu_power_usage_milliwatts_{i}" for i in SLOTS],
+        *[f"{heat[i]} AS nvidia_gpu_temperature_celsius_{i}" for i in SLOTS],
     )
 
 
 def raw_samples(spark: SparkSession, base: str) -> DataFrame:
     """Samples before cleaning: gaps in two columns and a JSON map per row."""
-    event = F.col("prom_id")
-    load = (event % 50).cast("string")
-    second = (event % 70).cast("string")
-    one = F.concat(F.lit('{"0": '), load, F.lit("}"))
-    two = F.concat(F.lit('{"0": '), load, F.lit(', "1": '), second, F.lit("}"))
-    return samples(spark, base).select(
+    return samples(spark, base).selectExpr(
         "prom_id",
         "node",
         "timestamp",
         "gpu_node",
         "node_ambient_temp",
-        F.when(event % 13 != 0, F.col("node_power_usage")).alias("node_power_usage"),
-        F.when(event % 17 != 0, F.col("nvidia_gpu_power_usage_milliwatts_0")).alias(
-            "nvidia_gpu_power_usage_milliwatts_0"
-        ),
-        F.when(event % 11 == 0, F.lit(None))
-        .when(event % 5 == 0, one)
-        .otherwise(two)
-        .alias("power_json"),
+        "CASE WHEN prom_id % 13 <> 0 THEN node_power_usage END AS node_power_usage",
+        """CASE WHEN prom_id % 17 <> 0 THEN nvidia_gpu_power_usage_milliwatts_0 END
+           AS nvidia_gpu_power_usage_milliwatts_0""",
+        """CASE WHEN prom_id % 11 = 0 THEN NULL
+                WHEN prom_id % 5 = 0 THEN concat('{"0": ', prom_id % 50, '}')
+                ELSE concat('{"0": ', prom_id % 50, ', "1": ', prom_id % 70, '}')
+           END AS power_json""",
     )
 
 
 def jobs(spark: SparkSession, base: str) -> DataFrame:
     """Batch jobs: one row per order, with node lists in bracket syntax."""
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    index = (key * 7919) % 60
-    rack = (F.lit(10) + F.floor(index / 6)).cast("string")
-
-    def minutes(n: Column) -> Column:
-        return F.make_dt_interval(mins=n.cast("int"))
-
-    submit = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + minutes((key * 7919) % 40320)
-    kind = key % 12
-    numnodes = F.when(key % 10 == 0, 3).when(key % 10 == 1, 4).otherwise(1)
-    cores = F.when(key % 4 == 0, 2).when(key % 4 == 1, 3).when(key % 4 == 2, 16).otherwise(8)
-    return (
-        spark.read.parquet(f"{base}/orders.parquet")
-        .select(
-            key.alias("id"),
-            F.when(key % 97 == 0, F.lit("None assigned"))
-            .when(key % 10 == 0, F.concat(F.lit("r"), rack, F.lit("n[1-2,4]")))
-            .when(key % 10 == 1, F.concat(F.lit("r"), rack, F.lit("n[1,3-4],r16n2")))
-            .otherwise(_node_name(index))
-            .alias("node"),
-            submit.alias("submit_date"),
-            minutes(customer % 180).alias("wait"),
-            minutes(F.lit(1) + (customer * 31 + key) % 600).alias("run"),
-            F.when(kind <= 1, F.lit("FAILED"))
-            .when(kind == 2, F.concat(F.lit("CANCELLED by "), key.cast("string")))
-            .when(kind == 3, F.lit("TIMEOUT"))
-            .when(kind == 4, F.lit("OUT_OF_MEMORY"))
-            .when(kind == 5, F.lit("NODE_FAIL"))
-            .otherwise(F.lit("COMPLETED"))
-            .alias("state"),
-            numnodes.alias("numnodes"),
-            (numnodes * cores).alias("numcores"),
-        )
-        .select(
-            "id",
-            "node",
-            "submit_date",
-            (F.col("submit_date") + F.col("wait")).alias("start_date"),
-            (F.col("submit_date") + F.col("wait") + F.col("run")).alias("end_date"),
-            "state",
-            "numnodes",
-            "numcores",
-        )
+    numbered = spark.read.parquet(f"{base}/orders.parquet").selectExpr(
+        "o_orderkey AS id",
+        "(o_orderkey * 7919) % 60 AS hi",
+        """TIMESTAMP_NTZ '2024-01-01 00:00:00'
+           + make_dt_interval(0, 0, int((o_orderkey * 7919) % 40320)) AS submit_date""",
+        "make_dt_interval(0, 0, int(o_custkey % 180)) AS wait",
+        "make_dt_interval(0, 0, int(1 + (o_custkey * 31 + o_orderkey) % 600)) AS run",
+        """CASE WHEN o_orderkey % 10 = 0 THEN 3 WHEN o_orderkey % 10 = 1 THEN 4 ELSE 1 END
+           AS numnodes""",
+        "CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 16 ELSE 8 END AS cores",
+    )
+    return numbered.selectExpr(
+        "id",
+        f"""CASE WHEN id % 97 = 0 THEN 'None assigned'
+                 WHEN id % 10 = 0 THEN concat('r', 10 + hi DIV 6, 'n[1-2,4]')
+                 WHEN id % 10 = 1 THEN concat('r', 10 + hi DIV 6, 'n[1,3-4],r16n2')
+                 ELSE {NODE_NAME.format("hi")} END AS node""",
+        "submit_date",
+        "submit_date + wait AS start_date",
+        "submit_date + wait + run AS end_date",
+        """CASE WHEN id % 12 <= 1 THEN 'FAILED'
+                WHEN id % 12 = 2 THEN concat('CANCELLED by ', id)
+                WHEN id % 12 = 3 THEN 'TIMEOUT'
+                WHEN id % 12 = 4 THEN 'OUT_OF_MEMORY'
+                WHEN id % 12 = 5 THEN 'NODE_FAIL'
+                ELSE 'COMPLETED' END AS state""",
+        "numnodes",
+        "numnodes * cores AS numcores",
     )
 
 
 def hardware(spark: SparkSession, base: str) -> DataFrame:
     """One row per node that the orders are mapped to."""
-    index = (F.col("o_orderkey") * 7919) % 60
-    ni = F.col("ni")
-    gpus = F.when(ni < 36, 0).when(ni % 6 < 4, 4).otherwise(2)
-    cpus = (F.lit(1) + ni % 2).cast("int")
-    return (
+    indexes = (
         spark.read.parquet(f"{base}/orders.parquet")
-        .select(index.alias("ni"))
+        .selectExpr("(o_orderkey * 7919) % 60 AS ni")
         .distinct()
-        .select(
-            _node_name(ni).alias("node"),
-            F.concat(F.lit("cpu-"), (ni % 3).cast("string")).alias("cpu_model"),
-            F.when(ni >= 36, F.concat(F.lit("gpu-"), (ni % 2).cast("string"))).alias("gpu_model"),
-            cpus.alias("cpu_count"),
-            (cpus * 16).alias("cpu_core_count_total"),
-            (cpus * 125).alias("cpu_tdp_total"),
-            (cpus * F.lit(96 * 1024**3).cast("bigint")).alias("cpu_memory_bytes_total"),
-            F.lit(2 * 1024**4).cast("bigint").alias("node_filesystem_size_bytes_total"),
-            gpus.alias("gpu_count"),
-            F.lit(250).alias("gpu_tdp_per_card"),
-            (gpus * 250).alias("gpu_tdp_total"),
-            (gpus * F.lit(24 * 1024**3).cast("bigint")).alias("gpu_memory_bytes_total"),
-            F.lit(80).alias("cpu_t_case_max"),
-            F.lit(100).alias("cpu_per_core_temp_max"),
-            F.lit(90).alias("gpu_temp_max"),
-        )
+    )
+    return indexes.selectExpr(
+        "ni",
+        "int(1 + ni % 2) AS cpus",
+        "CASE WHEN ni < 36 THEN 0 WHEN ni % 6 < 4 THEN 4 ELSE 2 END AS gpus",
+    ).selectExpr(
+        f"{NODE_NAME.format('ni')} AS node",
+        "concat('cpu-', ni % 3) AS cpu_model",
+        "CASE WHEN ni >= 36 THEN concat('gpu-', ni % 2) END AS gpu_model",
+        "cpus AS cpu_count",
+        "cpus * 16 AS cpu_core_count_total",
+        "cpus * 125 AS cpu_tdp_total",
+        f"cpus * {96 * 1024**3}L AS cpu_memory_bytes_total",
+        f"{2 * 1024**4}L AS node_filesystem_size_bytes_total",
+        "gpus AS gpu_count",
+        "250 AS gpu_tdp_per_card",
+        "gpus * 250 AS gpu_tdp_total",
+        f"gpus * {24 * 1024**3}L AS gpu_memory_bytes_total",
+        "80 AS cpu_t_case_max",
+        "100 AS cpu_per_core_temp_max",
+        "90 AS gpu_temp_max",
     )
