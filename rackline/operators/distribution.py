@@ -52,14 +52,20 @@ def ranked_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     """
     keys = [*by, "variable"]
     counts = value_counts(doubles_long(df, cols, by), "value", keys)
-    rows = segmented(counts, keys, ["value"])
-    totals = rows.groupBy(*keys).agg(
-        F.sum("n").alias("total"),
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    ranked = running_total(
+        segmented(counts, keys, ["value"]),
+        keys,
+        ["value"],
+        "n",
+        "cum",
+        {
+            "total": (F.sum, F.col("n")),
+            "weight": (F.sum, F.col("n") * F.col("value")),
+            "min": (F.min, F.col("value")),
+            "max": (F.max, F.col("value")),
+        },
     )
-    return attach_group(running_total(rows, keys, ["value"], "n", "cum"), totals, keys)
+    return ranked.withColumn("mean", F.col("weight") / F.col("total")).drop("weight")
 
 
 def _quantile_name(q: float) -> str:

@@ -4,17 +4,17 @@ A window over ``partitionBy(series).orderBy(time)`` gathers a series in one
 task, however long it is.  Here the rows are range-partitioned by
 ``(series, order)`` instead, so a long series spans many *segments*.  Windows
 run per (series, segment); what they miss across a segment border is carried
-over from a per-segment summary.  Only the first (or last) series of a segment
-can continue across its border, so the carried table has at most one row per
-segment in each direction: its size is bound by the number of partitions and it
-can always be broadcast.
+over from a per-segment summary.  Only the first and the last series of a
+segment can continue across its borders, so the carried table has at most two
+rows per segment: its size is bound by the number of partitions and it can
+always be broadcast.
 
 The order must be total (end it with a unique key) for a deterministic result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from rackline.operators.attach import same_keys
 from rackline.sources.tables import materialise
 
 SEGMENT = "_segment"
+Aggregate = Callable[..., Column]
 
 
 def segmented(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -59,16 +60,44 @@ def _earlier_total(summary: DataFrame, by, amount: str, out: str) -> DataFrame:
 
 
 def running_total(
-    rows: DataFrame, by: Sequence[str], order: Sequence[str], amount: str, out: str
+    rows: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    amount: str,
+    out: str,
+    totals: dict[str, tuple[Aggregate, Column]] | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``amount`` per series over :func:`segmented` rows."""
-    summary = rows.groupBy(*by, SEGMENT).agg(F.sum(amount).alias("_sum"))
-    border = _earlier_total(summary, by, "_sum", "_before")
-    frame = _within(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumn("_local", F.sum(amount).over(frame))
+    """Inclusive running sum of ``amount`` per series over :func:`segmented` rows.
+
+    ``totals`` adds whole-series sums, minima or maxima as further columns, such
+    as ``{"total": (F.sum, F.col("n"))}``.  A series inside one segment gets
+    them from its segment's window; one that spans several from the border.
+    """
+    totals = totals or {}
+    summary = rows.groupBy(*by, SEGMENT).agg(
+        F.sum(amount).alias("_sum"), *[fn(c).alias(f"_{t}") for t, (fn, c) in totals.items()]
+    )
+    series = Window.partitionBy(*by)
+    earlier = _across(by).rowsBetween(Window.unboundedPreceding, -1)
+    border = summary.select(
+        *by,
+        SEGMENT,
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+        *[fn(f"_{t}").over(series).alias(f"_series_{t}") for t, (fn, _) in totals.items()],
+        F.count(F.lit(1)).over(series).alias("_segments"),
+    ).where("_segments > 1")
+
+    growing = _within(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    segment = Window.partitionBy(*by, SEGMENT)
+    local = rows.select(
+        "*",
+        F.sum(amount).over(growing).alias("_local"),
+        *[fn(c).over(segment).alias(f"_local_{t}") for t, (fn, c) in totals.items()],
+    )
     return _join_border(local, border, by).select(
         *[c for c in rows.columns if c != SEGMENT],
         (F.col("_local") + F.coalesce("_before", F.lit(0))).alias(out),
+        *[F.coalesce(f"_series_{t}", f"_local_{t}").alias(t) for t in totals],
     )
 
 
