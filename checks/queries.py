@@ -621,7 +621,7 @@ ORDER = ["timestamp", "prom_id"]
 @query("null_neighbours")
 def null_neighbours(spark, base):
     gaps = raw(spark, base).select("prom_id", "node", "timestamp", "node_power_usage")
-    found = ordered.null_rows_with_neighbours(gaps, ["node"], ORDER)
+    found = ordered.null_rows_with_neighbours(gaps, ["node"], ORDER, key=["prom_id"])
     return _drop_time(found).withColumn("has_null", F.col("has_null").cast("int"))
 
 
@@ -634,6 +634,7 @@ def interpolate(spark, base):
         ORDER,
         {"default": 1.0},
         0.5,
+        ["prom_id"],
     )
     return filled.select(
         "prom_id", "node", "node_index", "node_power_usage", "nvidia_gpu_power_usage_milliwatts_0"
@@ -644,7 +645,7 @@ def interpolate(spark, base):
 def every_nth(spark, base):
     return _drop_time(
         ordered.every_nth(
-            raw(spark, base).select("prom_id", "node", "timestamp"), 7, ["timestamp", "prom_id"]
+            raw(spark, base).select("prom_id", "node", "timestamp"), 7, ORDER, key=["prom_id"]
         )
     )
 

@@ -9,7 +9,9 @@ segment can continue across its borders, so the carried table has at most two
 rows per segment: its size is bound by the number of partitions and it can
 always be broadcast.
 
-The order must be total (end it with a unique key) for a deterministic result.
+The order must be total (end it with a unique column) for a deterministic result.
+For wide tables name the columns that identify a row as ``key``: then only these
+and the columns worked on are sorted and written, and the rest is joined back.
 """
 
 from __future__ import annotations
@@ -37,6 +39,20 @@ def segmented(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
     return materialise(ranged.withColumn(SEGMENT, F.spark_partition_id()))
 
 
+def _narrow(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Only the columns an ordered operator works on, if rows have a ``key`` by
+    which the others can be joined back."""
+    return df.select(*dict.fromkeys([*key, *cols])) if key else df
+
+
+def _widen(df: DataFrame, result: DataFrame, key: Sequence[str], added: Sequence[str]):
+    """Give narrow results the other columns of their rows back."""
+    if not key:
+        return result
+    kept = [c for c in df.columns if c not in added]
+    return df.select(*kept).join(result.select(*key, *added), list(key))
+
+
 def _within(by, order) -> Window:
     return Window.partitionBy(*by, SEGMENT).orderBy(*order)
 
@@ -102,25 +118,33 @@ def running_total(
 
 
 def row_index(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "row_index"
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    out: str = "row_index",
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Zero-based position of each row within its series."""
-    rows = segmented(df, by, order)
+    rows = segmented(_narrow(df, key, [*by, *order]), by, order)
     summary = rows.groupBy(*by, SEGMENT).agg(F.count(F.lit(1)).alias("_rows"))
     border = _earlier_total(summary, by, "_rows", "_before")
     local = rows.withColumn("_local", F.row_number().over(_within(by, order)) - F.lit(1))
-    return _join_border(local, border, by).select(
-        *df.columns, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(out)
-    )
+    position = F.col("_local") + F.coalesce("_before", F.lit(0))
+    placed = _join_border(local, border, by).withColumn(out, position.cast("bigint"))
+    return _widen(df, placed, key, [out]).select(*df.columns, out)
 
 
 def every_nth(
-    df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame,
+    n: int,
+    order: Sequence[str],
+    by: Sequence[str] = (),
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Systematic sample: rows whose zero-based position is a multiple of ``n``."""
-    return (
-        row_index(df, by, order, "_index").where(F.col("_index") % n == 0).select(*df.columns)
-    )
+    placed = row_index(_narrow(df, key, [*by, *order]), by, order, "_index")
+    chosen = placed.where(F.col("_index") % n == 0)
+    return _widen(df, chosen, key, []).select(*df.columns)
 
 
 def null_rows_with_neighbours(
@@ -128,13 +152,15 @@ def null_rows_with_neighbours(
     by: Sequence[str] = ("node",),
     order: Sequence[str] = ("timestamp",),
     cols: Sequence[str] | None = None,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Rows with a null in any of ``cols`` plus the row right before and right
     after each of them in the series; adds ``has_null``."""
     has_null = F.lit(False)
     for c in cols or df.columns:
         has_null = has_null | F.col(c).isNull()
-    rows = segmented(df.withColumn("has_null", has_null), by, order)
+    flagged = _narrow(df.withColumn("has_null", has_null), key, [*by, *order, "has_null"])
+    rows = segmented(flagged, by, order)
 
     window = _within(by, order)
     local = rows.select(
@@ -157,11 +183,8 @@ def null_rows_with_neighbours(
     near = F.coalesce("_lag", "_from_before", F.lit(False)) | F.coalesce(
         "_lead", "_from_after", F.lit(False)
     )
-    return (
-        _join_border(local, border, by)
-        .where(F.col("has_null") | near)
-        .select(*df.columns, "has_null")
-    )
+    found = _join_border(local, border, by).where(F.col("has_null") | near)
+    return _widen(df, found, key, ["has_null"]).select(*df.columns, "has_null")
 
 
 def interpolate(
@@ -171,6 +194,7 @@ def interpolate(
     order: Sequence[str] = ("timestamp",),
     defaults: dict[str, float] | None = None,
     epsilon: float = 0.0,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Fill missing values (null or NaN) linearly by row position in the series.
 
@@ -180,7 +204,8 @@ def interpolate(
     Adds ``node_index``, the zero-based row position.
     """
     defaults = defaults or {}
-    rows = segmented(df.withColumns({c: null_if_nan(F.col(c)) for c in cols}), by, order)
+    gappy = _narrow(df, key, [*by, *order, *cols])
+    rows = segmented(gappy.withColumns({c: null_if_nan(F.col(c)) for c in cols}), by, order)
     local = rows.withColumn("_local", F.row_number().over(_within(by, order)) - F.lit(1))
 
     def known(c: str, position: Column) -> Column:
@@ -247,6 +272,7 @@ def interpolate(
             F.coalesce(between, n["y"], p["y"], F.lit(float(default))) + F.lit(float(epsilon)),
         ).alias(c)
 
-    return points.select(
-        *[filled(c) if c in cols else F.col(c) for c in df.columns], "node_index"
+    done = points.select(
+        *[filled(c) if c in cols else F.col(c) for c in gappy.columns], "node_index"
     )
+    return _widen(df, done, key, [*cols, "node_index"]).select(*df.columns, "node_index")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from rackline.functions import nodes, times
 from rackline.functions.stats import count_where
-from rackline.operators.attach import attach_group
 from rackline.operators.joins import BUCKET_SECONDS, interval_join
 
 
@@ -102,6 +101,11 @@ def integrate(
     return interval_join(inside_samples, intervals, bucket_seconds=bucket_seconds)
 
 
+def concurrency(job_samples: DataFrame, out: str = "concurrent_job_count") -> DataFrame:
+    """Number of rows per node and instant."""
+    return job_samples.groupBy("node", "timestamp").agg(F.count(F.lit(1)).alias(out))
+
+
 def with_concurrency(job_samples: DataFrame, out: str = "concurrent_job_count") -> DataFrame:
     """Add the number of rows of the same node and instant.
 
@@ -109,9 +113,7 @@ def with_concurrency(job_samples: DataFrame, out: str = "concurrent_job_count")
     very many rows is not gathered in one window partition.  The table is read
     twice: pass the stored joined table rather than the join itself.
     """
-    at = ["node", "timestamp"]
-    counts = job_samples.groupBy(*at).agg(F.count(F.lit(1)).alias(out))
-    return job_samples.join(counts, at, "left")
+    return job_samples.join(concurrency(job_samples, out), ["node", "timestamp"], "left")
 
 
 def state_counts(job_samples: DataFrame, states: list[str]) -> DataFrame:

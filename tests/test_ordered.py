@@ -74,12 +74,12 @@ def _interpolated(values, default, epsilon):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("missing", [0.4, 0.97])
-def test_interpolate_random(spark, seed, missing):
+@pytest.mark.parametrize(("missing", "key"), [(0.4, []), (0.97, []), (0.4, ["id"])])
+def test_interpolate_random(spark, seed, missing, key):
     rows = _rows(seed, missing=missing)
     df = spark.createDataFrame(rows, SCHEMA)
     out = ordered.interpolate(
-        df, ["y"], ["node"], ["t", "id"], {"y": 7.0, "default": 3.0}, epsilon=0.25
+        df, ["y"], ["node"], ["t", "id"], {"y": 7.0, "default": 3.0}, 0.25, key
     )
     assert out.columns == [*df.columns, "node_index"]
     found = {r.id: (r.y, r.node_index) for r in out.collect()}
@@ -121,8 +121,10 @@ def test_all_missing_takes_default(spark):
 def test_neighbours_random(spark, seed):
     rows = [(r[0], r[1] or "null", *r[2:]) for r in _rows(seed, missing=0.05)]
     df = spark.createDataFrame(rows, SCHEMA)
-    found = {r.id: r.has_null for r in
-             ordered.null_rows_with_neighbours(df, ["node"], ["t", "id"]).collect()}
+    key = ["id"] if seed == 5 else []
+    near = ordered.null_rows_with_neighbours(df, ["node"], ["t", "id"], key=key)
+    assert near.columns == [*df.columns, "has_null"]
+    found = {r.id: r.has_null for r in near.collect()}
     expected = {}
     for series in _series(rows).values():
         gaps = [r[3] is None for r in series]
@@ -140,8 +142,10 @@ def test_every_nth_and_row_index(spark, by):
     index = {r[0]: i for s in series.values() for i, r in enumerate(s)}
     got = {r.id: r.row_index for r in ordered.row_index(df, by, ["t", "id"]).collect()}
     assert got == index
-    kept = {r.id for r in ordered.every_nth(df, 7, ["t", "id"], by).collect()}
-    assert kept == {i for i, place in index.items() if place % 7 == 0}
+    for key in ([], ["id"]):
+        sample = ordered.every_nth(df, 7, ["t", "id"], by, key)
+        assert sample.columns == df.columns
+        assert {r.id for r in sample.collect()} == {i for i, x in index.items() if x % 7 == 0}
 
 
 def test_running_total_with_series_totals(spark):
