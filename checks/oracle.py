@@ -126,6 +126,13 @@ SELECT prom_id, node, {micros("timestamp")}, slurm_id, state, numnodes, numcores
   {micros("start_date")}, {micros("end_date")}, round(node_power_usage, 6) AS node_power_usage,
   gpu_node, (SELECT count(*) FROM job_nodes n WHERE n.id = slurm_id) AS listed_nodes
 FROM js""")
+add("joined_written", "joined", f"""
+SELECT prom_id, node, {micros("timestamp")}, slurm_id, state, {micros("submit_date")},
+  {micros("end_date")}, round(node_load1, 6) AS node_load1 FROM js""")
+ORACLE["loaded_every_fifth"] = """
+SELECT event_id, user_id, event_type, round(value, 6) AS value
+FROM (SELECT *, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS i FROM events)
+WHERE i % 5 = 0"""
 add("concurrent_jobs", "joined", METRICS + """;;
 SELECT prom_id, slurm_id, concurrent AS concurrent_job_count,
   round(node_power_usage / concurrent, 6) AS power_per_job FROM counted""")
@@ -255,9 +262,10 @@ def described(source: str, columns: list[str], by: str, scale: str = "1", digits
             "max": f"max({v})",
         }
         rounded = ", ".join(f'round({e}, {digits}) AS "{n}"' for n, e in stats.items())
+        key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
         parts.append(
-            f"SELECT {by}, '{c}' AS variable, count({c}) AS \"count\", {rounded} "
-            f"FROM {source} GROUP BY {by}"
+            f"SELECT {key}'{c}' AS variable, count({c}) AS \"count\", {rounded} "
+            f"FROM {source}{group}"
         )
     return "\nUNION ALL ".join(parts)
 
@@ -467,6 +475,9 @@ add("ratios_winsorized", "samples hardware",
     PERCENT + f";; SELECT prom_id, gpu_node, {listed(MAIN_RATIOS)} FROM percent")
 add("ratio_describe", "samples hardware",
     PERCENT + ";;" + described("percent", MAIN_RATIOS, "gpu_node"))
+add("ratio_describe_all", "samples hardware", PERCENT + """,
+whole AS (SELECT """ + ", ".join(f"round_even({c}, 0) AS {c}" for c in MAIN_RATIOS) + """
+  FROM percent);;""" + described("whole", MAIN_RATIOS, ""))
 add("ratio_histogram", "samples hardware", WHOLE_PERCENT + """,
 b AS (SELECT gpu_node, variable, least(floor(x / 5), 21)::BIGINT * 5 AS bin_left, count(*) AS n
   FROM long WHERE x BETWEEN 0 AND 110 GROUP BY ALL);;

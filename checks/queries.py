@@ -7,6 +7,7 @@ with different summation order can be compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,14 @@ from rackline.functions import jsonmap, nodes, ratios, times
 from rackline.operators import clean, correlation, distribution, ordered, profile
 from rackline.plans import energy, gpu, hardware, integration, jobs, peers
 from rackline.sources import views
-from rackline.sources.tables import materialise, select_by_dtype
+from rackline.sources.loader import read_table
+from rackline.sources.tables import (
+    load,
+    materialise,
+    select_by_dtype,
+    shared_folder,
+    write_joined,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -149,6 +157,24 @@ def interval_join_pairs(spark, base):
     )
 
 
+@query("joined_written")
+def joined_written(spark, base):
+    """Through the sink and back: the joined table as other sessions would read it."""
+    path = f"{shared_folder(spark)}/joined-{uuid.uuid4().hex}"
+    write_joined(joined(spark, base).drop("slurm_nodes"), path)
+    return load(spark, path).select(
+        "prom_id", "node", micros("timestamp"), "slurm_id", "state", micros("submit_date"),
+        micros("end_date"), "node_load1",
+    )
+
+
+@query("loaded_every_fifth")
+def loaded_every_fifth(spark, base):
+    order = ["user_id", "ts", "event_id"]
+    table, _ = read_table(spark, f"{base}/events.parquet", nth=5, order=order)
+    return table.select("event_id", "user_id", "event_type", "value")
+
+
 @query("concurrent_jobs")
 def concurrent_jobs(spark, base):
     return integration.with_concurrency(stored_joined(spark, base)).select(
@@ -448,6 +474,12 @@ def ratio_describe(spark, base):
     return distribution.describe(percent(spark, base), ratios.RATIOS, ["gpu_node"])
 
 
+@query("ratio_describe_all")
+def ratio_describe_all(spark, base):
+    whole = hardware.rounded(percent(spark, base), ratios.RATIOS)
+    return distribution.describe(whole, ratios.RATIOS)
+
+
 @query("ratio_histogram")
 def ratio_histogram(spark, base):
     return distribution.histogram_density(percent(spark, base), ratios.RATIOS, ["gpu_node"])

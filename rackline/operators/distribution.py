@@ -202,9 +202,15 @@ def winsorize(
         .groupBy(*by)
         .agg(*[F.max(F.when(F.col("variable") == c, F.col(name))).alias(f"_cap_{c}") for c in cols])
     )
-    capped = {c: F.when(F.col(c) > F.col(f"_cap_{c}"), F.col(f"_cap_{c}")).otherwise(F.col(c))
-              for c in cols}
-    return attach_group(df, caps, by).withColumns(capped).select(*df.columns)
+    if by:
+        limited = attach_group(df, caps, by)
+        limits = {c: F.col(f"_cap_{c}") for c in cols}
+    else:
+        # One row of limits for the whole table: constants.
+        limited, row = df, caps.first()
+        limits = {c: F.lit(row[f"_cap_{c}"]) for c in cols}
+    capped = {c: F.when(F.col(c) > limits[c], limits[c]).otherwise(F.col(c)) for c in cols}
+    return limited.withColumns(capped).select(*df.columns)
 
 
 def histogram_density(
@@ -233,6 +239,11 @@ def histogram_density(
     )
 
 
+def one_hot(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
+    """Add a 0/1 column per value, named after it."""
+    return df.withColumns({v: F.when(F.col(col) == v, 1).otherwise(0) for v in values})
+
+
 def shares(df: DataFrame, predicates: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """Fraction of rows meeting each predicate; unknown counts as not met."""
     return df.groupBy(*by).agg(

@@ -90,6 +90,12 @@ def test_winsorize(df, table):
     assert [got[i] for i in want.id] == pytest.approx(list(want.x))
 
 
+def test_winsorize_whole_table(df, table):
+    got = {r.id: r.x for r in distribution.winsorize(df, ["x"], q=0.8).collect()}
+    want = table.x.clip(upper=table.x.quantile(0.8))
+    assert [got[i] for i in table.id] == pytest.approx(list(want))
+
+
 def test_modes_keep_all_ties(spark):
     df = spark.createDataFrame(
         [("g", 1, "a"), ("g", 1, "b"), ("g", 2, "b"), ("g", 2, None), ("g", 3, "c")],
