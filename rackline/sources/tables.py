@@ -15,6 +15,7 @@ class Tables:
     """The four logical tables of a dataset, bound to one base path."""
 
     base: str
+    # File names of the published tables.
     jobs: str = "slurm_table_cleaned.parquet"
     node_samples: str = "prom_table_cleaned.parquet"
     job_samples: str = "prom_slurm_joined.parquet"
