@@ -69,6 +69,7 @@ melted AS (
 
 add("energy_by_class_state", "joined", METRICS + """;;
 SELECT gpu_node, state, round(node_energy, 2) AS node_energy FROM metrics""")
+ORACLE["energy_from_joined"] = ORACLE["energy_by_class_state"]
 add("energy_share", "joined", METRICS + """;;
 SELECT gpu_node, round(sum(e), 2) AS node_energy,
   round(100 * sum(e) / (SELECT sum(e) FROM of_job), 2) AS pct_energy

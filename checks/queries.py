@@ -49,6 +49,10 @@ def joined(spark: SparkSession, base: str) -> DataFrame:
     return integration.integrate(views.samples(spark, base), views.jobs(spark, base))
 
 
+def job_summary(spark: SparkSession, base: str) -> DataFrame:
+    return energy.observed_job_nodes(views.samples(spark, base), views.jobs(spark, base))
+
+
 NARROW = ("prom_id", "node", "timestamp", "gpu_node", "node_power_usage", "slurm_id", "state",
           "start_date", "end_date", "numnodes", "numcores")
 
@@ -81,12 +85,18 @@ def micros(col: str):
 
 @query("energy_by_class_state", 2)
 def energy_by_class_state(spark, base):
-    return energy.energy_by_class_state(joined(spark, base))
+    return energy.energy_by_class_state(job_summary(spark, base))
+
+
+@query("energy_from_joined", 2)
+def energy_from_joined(spark, base):
+    """The same from the stored joined table."""
+    return energy.energy_by_class_state(energy.job_nodes(stored_joined(spark, base)))
 
 
 @query("energy_share", 2)
 def energy_share(spark, base):
-    return energy.energy_share(joined(spark, base))
+    return energy.energy_share(job_summary(spark, base))
 
 
 @query("submissions_by_class_state")
@@ -101,48 +111,48 @@ def runtime_by_class_state(spark, base):
 
 @query("class_state_metrics", 2)
 def class_state_metrics(spark, base):
-    return energy.class_state_metrics(joined(spark, base))
+    return energy.class_state_metrics(job_summary(spark, base))
 
 
 @query("class_comparison", 2)
 def class_comparison(spark, base):
-    return energy.class_comparison(joined(spark, base))
+    return energy.class_comparison(job_summary(spark, base))
 
 
 @query("normalised_metrics")
 def normalised_metrics(spark, base):
     return energy.normalise_columns(
-        energy.class_state_metrics(joined(spark, base)), energy.METRICS, ["gpu_node"]
+        energy.class_state_metrics(job_summary(spark, base)), energy.METRICS, ["gpu_node"]
     )
 
 
 @query("percent_table")
 def percent_table(spark, base):
     cols = ["job_submissions", "job_runtime", "job_energy"]
-    table = energy.class_label(energy.class_comparison(joined(spark, base)))
+    table = energy.class_label(energy.class_comparison(job_summary(spark, base)))
     return energy.percent_table(energy.normalise_columns(table, cols), cols, ["type"])
 
 
 @query("metrics_melted")
 def metrics_melted(spark, base):
-    return energy.melted_comparison(energy.class_comparison(joined(spark, base)))
+    return energy.melted_comparison(energy.class_comparison(job_summary(spark, base)))
 
 
 @query("metrics_pivot")
 def metrics_pivot(spark, base):
-    long = energy.melted_comparison(energy.class_comparison(joined(spark, base)))
+    long = energy.melted_comparison(energy.class_comparison(job_summary(spark, base)))
     return energy.pivot_mean(long, "variable", "type", "value", ["Generic", "ML"])
 
 
 @query("stack_offsets")
 def stack_offsets(spark, base):
-    long = energy.melted_comparison(energy.class_comparison(joined(spark, base)))
+    long = energy.melted_comparison(energy.class_comparison(job_summary(spark, base)))
     return energy.stack_offsets(long, "variable", "type", "value", ["Generic", "ML"])
 
 
 @query("state_matrix")
 def state_matrix(spark, base):
-    return energy.state_matrix(energy.class_state_metrics(joined(spark, base)))
+    return energy.state_matrix(energy.class_state_metrics(job_summary(spark, base)))
 
 
 # --- integration --------------------------------------------------------------

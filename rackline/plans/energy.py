@@ -1,12 +1,14 @@
 """Submissions, run time and energy of jobs by class and state.
 
-Input is the joined table, so jobs without any sample are not counted; energy
-is a job's mean sampled power share times its full run time.
+Only jobs with samples are counted.  Energy is a job's mean sampled power share
+times its full run time, per node.  The analyses start from a summary with one
+row per (job, node), made from the joined table or from samples and jobs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,13 @@ from pyspark.sql import functions as F
 from rackline.functions import nodes, times
 from rackline.functions.stats import count_where
 from rackline.operators.distribution import melt
+from rackline.operators.joins import interval_join
+from rackline.plans.integration import (
+    concurrency,
+    job_side,
+    restrict_to_window,
+    with_concurrency,
+)
 from rackline.sources.tables import materialise
 
 METRICS = ("submissions", "job_runtime_seconds", "node_energy")
@@ -22,35 +31,18 @@ METRICS = ("submissions", "job_runtime_seconds", "node_energy")
 STATES = ("COMPLETED", "FAILED", "CANCELLED", "TIMEOUT", "OUT_OF_MEMORY", "NODE_FAIL")
 
 
-def job_instants(job_samples: DataFrame) -> DataFrame:
-    """One row per (node, instant, job) with its summed power share.
+def _over_jobs(shared: DataFrame) -> DataFrame:
+    """One row per (job, node) from job-sample rows with a ``power_share``.
 
-    Copies of a sample are combined before the shuffle.  The window that counts
-    the jobs of an instant then sees each job once, so one of its partitions
-    holds no more rows than jobs ran on one node at one moment.  Class and state
-    are grouping keys here: as aggregates, text would force a sort of all rows.
+    Class and state are grouping keys of the large aggregate: as aggregates,
+    text would force a sort of all rows.
     """
-    combined = job_samples.groupBy("node", "timestamp", "slurm_id", "gpu_node", "state").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("node_power_usage").alias("readings"),
-        F.sum("node_power_usage").alias("power"),
-        F.max(times.run_seconds()).alias("run_seconds"),
-    )
-    instant = Window.partitionBy("node", "timestamp")
-    return combined.withColumn("concurrent", F.sum("rows").over(instant)).withColumn(
-        "power_share", F.col("power") / F.col("concurrent")
-    )
-
-
-def job_nodes(job_samples: DataFrame) -> DataFrame:
-    """One row per (job, node): mean power share, run seconds, class and state."""
     return (
-        job_instants(job_samples)
-        .groupBy("slurm_id", "node", "gpu_node", "state")
+        shared.groupBy("slurm_id", "node", "gpu_node", "state")
         .agg(
             F.sum("power_share").alias("power_share"),
-            F.sum("readings").alias("readings"),
-            F.max("run_seconds").alias("run_seconds"),
+            F.count("power_share").alias("readings"),
+            F.max(times.run_seconds()).alias("run_seconds"),
         )
         .groupBy("slurm_id", "node")
         .agg(
@@ -62,13 +54,44 @@ def job_nodes(job_samples: DataFrame) -> DataFrame:
     )
 
 
-def per_job(nodes_of_jobs: DataFrame) -> DataFrame:
+def _with_share(counted: DataFrame) -> DataFrame:
+    return counted.withColumn(
+        "power_share", F.col("node_power_usage") / F.col("concurrent_job_count")
+    )
+
+
+def job_nodes(job_samples: DataFrame) -> DataFrame:
+    """One row per (job, node): mean power share, run seconds, class and state.
+
+    For the stored joined table, which is read twice.
+    """
+    return _over_jobs(_with_share(with_concurrency(job_samples)))
+
+
+def observed_job_nodes(
+    samples: DataFrame, jobs: DataFrame, window: tuple[datetime, datetime] | None = None
+) -> DataFrame:
+    """As :func:`job_nodes`, straight from samples and jobs.
+
+    The joined table has as many rows per sample as jobs ran at that moment.
+    Here these rows are made twice but never shuffled: the first time they are
+    counted per instant where they arise, and the counts are joined to the
+    samples; the second time the shares are summed per job where they arise.
+    """
+    inside_jobs, inside_samples = restrict_to_window(jobs, samples, window)
+    intervals = job_side(inside_jobs.repartition("id"))
+    counts = concurrency(interval_join(inside_samples, intervals))
+    counted = inside_samples.join(counts, ["node", "timestamp"])
+    return _over_jobs(interval_join(_with_share(counted), intervals))
+
+
+def per_job(summary: DataFrame) -> DataFrame:
     """One row per job: class, state, run seconds and energy over its nodes.
 
     Class and state are the largest flag and the smallest text over the job's
     rows, so a job that touches a GPU node counts as a GPU job.
     """
-    return nodes_of_jobs.groupBy("slurm_id").agg(
+    return summary.groupBy("slurm_id").agg(
         F.max("gpu_node").alias("gpu_node"),
         F.min("state").alias("state"),
         F.max("run_seconds").alias("run_seconds"),
@@ -76,10 +99,6 @@ def per_job(nodes_of_jobs: DataFrame) -> DataFrame:
     )
 
 
-def job_metrics(job_samples: DataFrame) -> DataFrame:
-    return per_job(job_nodes(job_samples))
-
-
 def one_row_per_job(job_samples: DataFrame) -> DataFrame:
     """Class, state and run seconds of every observed job."""
     return (
@@ -110,18 +129,15 @@ def runtime_by_class_state(job_samples: DataFrame) -> DataFrame:
     )
 
 
-def energy_by_class_state(job_samples: DataFrame) -> DataFrame:
-    return (
-        job_metrics(job_samples)
-        .groupBy("gpu_node", "state")
-        .agg(F.sum("energy").alias("node_energy"))
-    )
+def energy_by_class_state(summary: DataFrame) -> DataFrame:
+    """Energy per class and state from a (job, node) summary."""
+    return per_job(summary).groupBy("gpu_node", "state").agg(F.sum("energy").alias("node_energy"))
 
 
-def class_state_metrics(job_samples: DataFrame) -> DataFrame:
+def class_state_metrics(summary: DataFrame) -> DataFrame:
     """All three metrics in one pass over the jobs; no join of separate results."""
     return (
-        job_metrics(job_samples)
+        per_job(summary)
         .groupBy("gpu_node", "state")
         .agg(
             F.count(F.lit(1)).alias("submissions"),
@@ -131,24 +147,21 @@ def class_state_metrics(job_samples: DataFrame) -> DataFrame:
     )
 
 
-def energy_share(job_samples: DataFrame) -> DataFrame:
+def energy_share(summary: DataFrame) -> DataFrame:
     """Energy per class and its percentage of the total (one row per class)."""
-    per_class = (
-        job_metrics(job_samples).groupBy("gpu_node").agg(F.sum("energy").alias("node_energy"))
-    )
+    per_class = per_job(summary).groupBy("gpu_node").agg(F.sum("energy").alias("node_energy"))
     total = F.sum("node_energy").over(Window.partitionBy())
     return per_class.withColumn("pct_energy", F.try_divide(F.col("node_energy") * 100, total))
 
 
-def class_comparison(job_samples: DataFrame) -> DataFrame:
+def class_comparison(summary: DataFrame) -> DataFrame:
     """Per class: racks, nodes, energy, failed jobs, distinct jobs, run seconds.
 
     Racks, nodes, jobs and run time follow the class of the node a job ran on;
-    energy and failures follow the class of the job.  The joined table is read
-    once: all six numbers come from its (job, node) summary, which is written
-    out because three aggregations use it.
+    energy and failures follow the class of the job.  All six numbers come from
+    the (job, node) summary, which is written out because three aggregations use it.
     """
-    summary = materialise(job_nodes(job_samples))
+    summary = materialise(summary)
     by_node = (
         summary.select("gpu_node", "node")
         .distinct()

@@ -124,7 +124,7 @@ def test_energy_by_definition(joined):
         run = (j[3] - j[2]).total_seconds()
         key = (gpu, j[4])
         want[key] = want.get(key, 0) + sum(values) / len(values) * run
-    got = {(r.gpu_node, r.state): r for r in energy.class_state_metrics(table).collect()}
+    got = {(r.gpu_node, r.state): r for r in energy.class_state_metrics(energy.job_nodes(table)).collect()}
     for key, value in want.items():
         assert got[key].node_energy == pytest.approx(value)
     for key in got:
@@ -133,15 +133,33 @@ def test_energy_by_definition(joined):
         assert got[key].job_runtime_seconds == sum((j[3] - j[2]).total_seconds() for j in mine)
 
 
+def test_energy_straight_from_samples_and_jobs(spark):
+    rng = random.Random(6)
+    samples = spark.createDataFrame(_samples(rng), SAMPLE)
+    rows = [(j[0], ",".join(j[1]), j[2], *j[2:]) for j in _jobs(rng)]
+    jobs = spark.createDataFrame(
+        rows, "id int, node string, submit_date timestamp_ntz, start_date timestamp_ntz, "
+        "end_date timestamp_ntz, state string, numnodes int, numcores int")
+    table = integration.integrate(samples, jobs)
+    both = [
+        sorted(energy.per_job(summary).collect())
+        for summary in (energy.job_nodes(table), energy.observed_job_nodes(samples, jobs))
+    ]
+    assert len(both[0]) == len(both[1]) > 20
+    for a, b in zip(*both, strict=True):
+        assert tuple(a)[:4] == tuple(b)[:4]
+        assert a.energy == pytest.approx(b.energy)
+
+
 def test_class_comparison(joined):
     table, pairs = joined
-    rows = {r.gpu_node: r for r in energy.class_comparison(table).collect()}
+    rows = {r.gpu_node: r for r in energy.class_comparison(energy.job_nodes(table)).collect()}
     for cls, row in rows.items():
         mine = [(s, j) for s, j in pairs if s[3] == cls]
         assert row.node_count == len({s[1] for s, _ in mine})
         assert row.rack_count == len({s[1][:3] for s, _ in mine})
         assert row.job_submissions == len({j[0] for _, j in mine})
-    shares = energy.normalise_columns(energy.class_comparison(table), energy.COMPARED).collect()
+    shares = energy.normalise_columns(energy.class_comparison(energy.job_nodes(table)), energy.COMPARED).collect()
     for c in energy.COMPARED:
         assert sum(r[c] for r in shares) == pytest.approx(1)
 

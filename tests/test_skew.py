@@ -94,20 +94,38 @@ def test_concurrency_splits_a_hot_instant(spark):
     assert all(r.concurrent_job_count == (30_000 if r.node == "hot" else 1) for r in rows)
 
 
-def test_copies_are_combined_before_the_shuffle(spark):
-    """A third of all rows are copies of one sample: they leave the map side as one row."""
-    one = spark.range(0, 30_000, 1, 8).select(
-        F.lit("r10n1").alias("node"), F.lit(START).cast("timestamp_ntz").alias("timestamp"),
-        F.lit(1).alias("slurm_id"), F.lit(0).alias("gpu_node"), F.lit("FAILED").alias("state"),
+def test_energy_with_a_third_of_all_rows_at_one_instant(spark):
+    copies = spark.range(0, 30_000, 1, 8).select(
+        F.col("id").cast("int").alias("prom_id"),
+        F.when(F.col("id") % 3 > 0, "r10n1").otherwise("r11n1").alias("node"),
+        (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(
+            secs=F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 900).cast("decimal(18,6)")
+        )).alias("timestamp"),
+        F.lit(0).alias("gpu_node"),
         F.lit(10.0).alias("node_power_usage"),
-        F.lit(START).cast("timestamp_ntz").alias("start_date"),
-        F.lit(START + timedelta(hours=1)).cast("timestamp_ntz").alias("end_date"),
-    )
-    rows = energy.job_instants(one).collect()
-    assert [(r.rows, r.concurrent) for r in rows] == [(30_000, 30_000)]
-    assert energy.energy_by_class_state(one).first().node_energy == pytest.approx(
-        10.0 / 30_000 * 3600
     )
+    hour = timedelta(hours=1)
+    jobs = spark.createDataFrame(
+        [(1, "r10n1", START - hour, START - hour, START + hour, "FAILED", 1, 1),
+         (2, "r10n1", START, START, START + hour, "FAILED", 1, 1),
+         (3, "r11n1", START, START, START + hour, "TIMEOUT", 1, 1)],
+        "id int, node string, submit_date timestamp_ntz, start_date timestamp_ntz, "
+        "end_date timestamp_ntz, state string, numnodes int, numcores int")
+    window = (START - hour, START + hour)
+    with large_table_settings(spark):
+        rows, plan = _final_plan(
+            energy.per_job(energy.observed_job_nodes(copies, jobs, window))
+        )
+    assert "SortMergeJoin(skew=true)" in plan
+    found = {r.slurm_id: r for r in rows}
+    # Two jobs share 20,000 readings of one instant: each reading counts 1/40,000.
+    assert found[1].energy == pytest.approx(10.0 / 40_000 * 7200)
+    assert found[2].energy == pytest.approx(10.0 / 40_000 * 3600)
+    sizes = {i % 900: 0 for i in range(0, 30_000, 3)}
+    for i in range(0, 30_000, 3):
+        sizes[i % 900] += 1
+    mean = sum(10.0 / n * n for n in sizes.values()) / 10_000
+    assert found[3].energy == pytest.approx(mean * 3600)
 
 
 def test_one_hot_series_and_value(spark):
