@@ -21,6 +21,7 @@ from rackline.plans.integration import (
     concurrency,
     job_side,
     restrict_to_window,
+    spread_jobs,
     with_concurrency,
 )
 from rackline.sources.tables import materialise
@@ -79,7 +80,7 @@ def observed_job_nodes(
     samples; the second time the shares are summed per job where they arise.
     """
     inside_jobs, inside_samples = restrict_to_window(jobs, samples, window)
-    intervals = job_side(inside_jobs.repartition("id"))
+    intervals = job_side(spread_jobs(inside_jobs))
     counts = concurrency(interval_join(inside_samples, intervals))
     counted = inside_samples.join(counts, ["node", "timestamp"])
     return _over_jobs(interval_join(_with_share(counted), intervals))

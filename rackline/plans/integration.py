@@ -67,6 +67,16 @@ def restrict_to_window(
     )
 
 
+def spread_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs over all shuffle partitions, by id.
+
+    The job table is usually one small file, but its rows multiply when node lists
+    and time buckets are exploded and matched.  A stated number of partitions is
+    kept as it is; without one, they would be merged by their small present size.
+    """
+    return jobs.repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def job_side(jobs: DataFrame) -> DataFrame:
     """Jobs ready for the join: node array, plain state, renamed id."""
     return jobs.select(
@@ -92,13 +102,11 @@ def integrate(
     All columns of both sides are available; unused ones are pruned from the
     scans, so no second join is needed to get wide columns back.
 
-    The job table is usually one small file, and its rows multiply when node
-    lists and time buckets are exploded; it is spread by job id before that, so
-    that this is not the work of a single task.
     """
     inside_jobs, inside_samples = restrict_to_window(jobs, samples, window)
-    intervals = job_side(inside_jobs.repartition("id"))
-    return interval_join(inside_samples, intervals, bucket_seconds=bucket_seconds)
+    return interval_join(
+        inside_samples, job_side(spread_jobs(inside_jobs)), bucket_seconds=bucket_seconds
+    )
 
 
 def concurrency(job_samples: DataFrame, out: str = "concurrent_job_count") -> DataFrame:
