@@ -20,11 +20,6 @@ def micros(col: str, name: str | None = None) -> str:
     return f'epoch_us("{col}") AS "{name or col}"'
 
 
-def whole(columns: str) -> str:
-    """Counts as BIGINT (sums of integers are wider in DuckDB)."""
-    return ", ".join(f"{c}::BIGINT AS {c}" for c in columns.split())
-
-
 # --- energy and classes -------------------------------------------------------
 
 METRICS = """

@@ -159,7 +159,8 @@ def test_class_comparison(joined):
         assert row.node_count == len({s[1] for s, _ in mine})
         assert row.rack_count == len({s[1][:3] for s, _ in mine})
         assert row.job_submissions == len({j[0] for _, j in mine})
-    shares = energy.normalise_columns(energy.class_comparison(energy.job_nodes(table)), energy.COMPARED).collect()
+    compared = energy.class_comparison(energy.job_nodes(table))
+    shares = energy.normalise_columns(compared, energy.COMPARED).collect()
     for c in energy.COMPARED:
         assert sum(r[c] for r in shares) == pytest.approx(1)
 

@@ -37,10 +37,6 @@ def _series(rows):
     return series
 
 
-def _segments(spark, df, by, order):
-    return ordered.segmented(df, by, order).select(ordered.SEGMENT).distinct().count()
-
-
 def test_long_series_spans_segments(spark):
     df = spark.createDataFrame(_rows(1), SCHEMA)
     hot = ordered.segmented(df, ["node"], ["t", "id"]).where("node = 'hot'")
