@@ -4,9 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_point
-
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
+from checks.oracle import ORACLE
+from checks.queries import REGISTRY as QUERIES
 
 
 @pytest.fixture(scope="module")
