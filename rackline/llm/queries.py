@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rackline.llm import chat, decontaminate, linededup, mixing, quality, simhash, toxicity, warc
+from rackline.llm import chat, decontaminate, linededup, mixing, quality, simhash, substrings, tokencounts, toxicity, warc
 from rackline.llm.storage import Workspace
 from rackline.llm.text import hex64, word_count
 
@@ -59,11 +59,43 @@ def op4_decontamination(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, base: str, tokenizer: str | None = None) -> DataFrame:
+    """Load all documents, withdraw later exact copies, count those with symbol runs anew without them; all twice."""
+    import public_tokenizers
+
+    path = tokenizer or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    how = tokencounts.Tokenizer(str(path), public_tokenizers.PATTERN, "byte_bpe_multi_50k")
+    docs = _table(spark, base, "documents").select("doc_id", "source", "lang", "text")
+    work = Workspace(spark, "op5")
+    rollup = tokencounts.TokenRollup(spark, work.path("rollup"))
+    batches = ["load", "withdraw", "revise"]
+    named = docs.select("doc_id", F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
+    first = named.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = named.join(first, ["a", "b"]).where("doc_id <> first")
+    text = F.regexp_replace("text", r"([!?#*$%&])\1{2,}", "$1")
+    changed = docs.withColumn("new", text).where("new <> text").join(copies, "doc_id", "left_anti")
+    changed = changed.select("doc_id", "source", "lang", F.col("new").alias("text"))
+    recounted = work.save(tokencounts.count_tokens(changed, how), "recounted")
+    for _ in range(2):  # what is committed already is left alone
+        rollup.commit("load", tokencounts.inserts(tokencounts.count_tokens(docs, how)))
+        rollup.commit("withdraw", tokencounts.deletes(rollup.current(["load"]), copies))
+        rollup.commit("revise", tokencounts.revisions(rollup.current(["load", "withdraw"]), recounted))
+    return rollup.totals(batches)
+
+
 def op6_simhash(spark: SparkSession, base: str) -> DataFrame:
     groups = simhash.near_duplicates(_table(spark, base, "documents"))
     return groups.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_substrings(spark: SparkSession, base: str) -> DataFrame:
+    rows = substrings.remove_repeats(_table(spark, base, "documents"), keep_bytes=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op8_toxicity(spark: SparkSession, base: str) -> DataFrame:
     docs = _table(spark, base, "documents").select("doc_id", "text")
     network = toxicity.fit(docs, _table(spark, base, "labels"))
@@ -119,7 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_warc,
         op3_source_mix,
         op4_decontamination,
+        op5_token_counts,
         op6_simhash,
+        op7_substrings,
         op8_toxicity,
         op9_chat_format,
         op10_line_dedup,
