@@ -30,6 +30,7 @@ class Settings:
     vocabulary: int = 20_000
     least_texts: int = 4
     epochs: int = 5
+    least_steps: int = 200
     batch: int = 32
     rate: float = 0.01
     seed: int = 7
@@ -85,8 +86,14 @@ def train(rows: list[tuple[str | None, int]], settings: Settings = Settings()) -
 
     adam = Adam(settings.rate)
     usable = np.flatnonzero([len(words) > 0 for words in texts])
-    for epoch in range(settings.epochs):
-        if epoch == settings.epochs - 2:
+    # The rarer class is repeated, up to ten times, and small samples are gone through more often.
+    of = [usable[labels[usable] == label] for label in (0, 1)]
+    few, more = sorted(of, key=len)
+    if len(few):
+        usable = np.concatenate((more, np.tile(few, min(10, len(more) // len(few)))))
+    epochs = max(settings.epochs, -(-settings.least_steps * settings.batch // max(1, len(usable))))
+    for epoch in range(epochs if len(usable) else 0):
+        if epoch == epochs - 2:
             adam.rate = settings.rate / 4
         order = rng.permutation(usable)
         for i in range(0, len(order), settings.batch):
