@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rackline.llm.text import let
+
 
 @dataclass(frozen=True)
 class Template:
@@ -92,16 +94,21 @@ def read_chats(formatted: DataFrame, template: Template = Template()) -> DataFra
         return control.replace("|", r"\|")
 
     def turns_of(block: Column) -> Column:
-        body = F.substring_index(block, template.end, 1)
-        learned = F.contains(body, F.lit(template.learn))
+        return let(F.substring_index(block, template.end, 1), of_body)
+
+    def of_body(body: Column) -> Column:
         parts = F.split(body, f"{literal(template.text)}|{literal(template.learn)}", 2)
-        texts = F.split(F.element_at(parts, 2), literal(template.next), -1)
-        return F.transform(
-            texts,
-            lambda text: F.struct(
-                unescape(F.element_at(parts, 1)).alias("role"),
-                unescape(text).alias("text"),
-                learned.alias("learned"),
+        return let(F.struct(parts.alias("parts"), F.contains(body, F.lit(template.learn)).alias("learned")), of_parts)
+
+    def of_parts(found: Column) -> Column:
+        texts = F.split(F.element_at(found.parts, 2), literal(template.next), -1)
+        return let(
+            F.struct(unescape(F.element_at(found.parts, 1)).alias("role"), found.learned.alias("learned")),
+            lambda head: F.transform(
+                texts,
+                lambda text: F.struct(
+                    head.role.alias("role"), unescape(text).alias("text"), head.learned.alias("learned")
+                ),
             ),
         )
 

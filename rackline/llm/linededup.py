@@ -13,11 +13,11 @@ no other line lies in a repeated run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackline.llm.storage import Workspace
-from rackline.llm.text import word_count
+from rackline.llm.text import let, word_count
 
 MIN_WORDS = 40
 _BLANK = r"^[\x20\x09-\x0D]*$"
@@ -124,20 +124,27 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*kept, _document()[1].alias("__id"))
     rows = rows.join(spans, F.col("__id") == F.col("__uid"), "left")
-    lines = F.split("text", "\n", -1)
+    edited = let(F.split("text", "\n", -1), lambda lines: _edited(lines, F.col("__spans")))
+    rows = rows.select(*kept, edited.alias("__edit"))
+    text = F.when(F.col("__edit.n_removed") > 0, F.col("__edit.text")).otherwise(F.col("text")).alias("text")
+    counts = (F.coalesce(F.col(f"__edit.{n}"), F.lit(0)).cast("long").alias(n) for n in ("n_lines", "n_removed"))
+    return rows.select(*(text if c == "text" else F.col(c) for c in kept), *counts)
+
+
+def _edited(lines: Column, spans: Column) -> Column:
+    """Struct of n_lines, n_removed and text, for the lines of a text and its spans to cut."""
     numbered = F.transform(lines, lambda x, i: F.when(~F.rlike(x, F.lit(_BLANK)), i))
-    cut = F.array_distinct(
-        F.flatten(F.transform("__spans", lambda s: F.sequence(s.start, (s.start + s.length - 1).cast("int"))))
-    )
-    rows = rows.select(*kept, lines.alias("__lines"), F.array_compact(numbered).alias("__numbers"), cut.alias("__cut"))
-    gone = F.transform("__cut", lambda q: F.get("__numbers", q))
-    rows = rows.select(
-        *kept,
-        "__lines",
-        F.coalesce(F.size("__numbers"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"),
-        F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone).alias("__stay"),
-    )
-    left = F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n")
-    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("text")).alias("text")
-    return rows.select(*(text if c == "text" else F.col(c) for c in kept), "n_lines", "n_removed")
+    covered = F.flatten(F.transform(spans, lambda s: F.sequence(s.start, s.start + s.length - 1)))
+    cut = F.coalesce(F.array_distinct(covered), F.array().cast("array<bigint>"))
+
+    def without(numbers: Column, cut: Column) -> Column:
+        gone = F.transform(cut, lambda q: F.get(numbers, q.cast("int")))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+        return F.struct(
+            F.size(numbers).alias("n_lines"),
+            F.size(cut).alias("n_removed"),
+            F.when(F.size(cut) > 0, left).alias("text"),
+        )
+
+    return let(F.array_compact(numbered), lambda numbers: let(cut, lambda gone: without(numbers, gone)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackline.llm.text import words
+from rackline.llm.text import let, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -47,94 +47,103 @@ RULES = (
 )
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_shouted_words")
+_NO_GAPS = " \t\n\x0b\x0c\r"
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Counts of every text beside the columns in ``docs``.
+def _long(value) -> Column:
+    return (F.lit(value) if isinstance(value, int) else value).cast("long")
 
-    ``n_repeat_words`` counts the words inside 8-word windows that occur twice or more
-    in their text.  Windows are compared by 64-bit hashes; equal hashes are found by
-    sorting one long per window, its upper bits the hash and its lower bits the
-    position.  Everything is bounded by the single text.
 
-    Null and empty texts have zero of everything.  Columns of ``docs`` with the name of
-    a count are replaced in the result.
+def _covered(at: Column) -> Column:
+    """Words inside the windows that start at the sorted positions ``at``, one at least."""
+    others = F.size(at) - 1
+    steps = F.zip_with(F.slice(at, 1, others), F.slice(at, 2, others), lambda a, b: F.least(b - a, _long(WINDOW)))
+    return F.aggregate(steps, _long(WINDOW), lambda a, b: a + b)
+
+
+def _repeated_words(hashes: Column) -> Column:
+    """Words inside windows that occur twice, from the hashes of all windows in order.
+
+    One long per window is sorted: the upper bits of its hash, and its position below
+    them.  Windows with equal hashes are neighbours then.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_shouted_words")
-    base = docs.drop(*(c for c in names if c != text))
-    lines = F.filter(F.split(value, "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+    bits = F.ceil(F.log2(F.size(hashes) + F.lit(1))).cast("int")
+
+    def key(bits: Column):
+        def of(h: Column, i: Column) -> Column:
+            upper = F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
+            return upper + i.cast("long")
+
+        return of
+
+    def positions(keys: Column, mask: Column) -> Column:
+        def hash_at(i: Column) -> Column:
+            return F.get(hashes, F.get(keys, i).bitwiseAND(mask).cast("int"))
+
+        def again(k: Column, i: Column) -> Column:
+            mine = F.get(hashes, k.bitwiseAND(mask).cast("int"))
+            return F.coalesce(mine == hash_at(i - 1), F.lit(False)) | F.coalesce(mine == hash_at(i + 1), F.lit(False))
+
+        return F.sort_array(F.transform(F.filter(keys, again), lambda k: k.bitwiseAND(mask)))
+
+    def counted(bits: Column) -> Column:
+        mask = F.call_function("shiftleft", _long(1), bits) - 1
+        return let(
+            F.sort_array(F.transform(hashes, key(bits))), lambda keys: let(positions(keys, mask), _covered)
+        )
+
+    return let(bits, counted)
+
+
+def _word_counts(words_: Column) -> Column:
     both_cases = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
-    split = base.select(
-        "*",
-        words(value).alias("__words"),
-        lines.alias("__lines"),
-        F.length(F.translate(value, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(value) - F.length(F.translate(value, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.regexp_count(value, F.lit(r"(^|[\x20\x09-\x0D])[A-ZÀ-Þ]{3}")).cast("long").alias("n_shouted_words"),
-    )
-    n = F.size("__words")
-    windows = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    hashed = split.select(
-        *(c for c in split.columns if c not in ("__words", "__lines")),
-        n.cast("long").alias("n_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("__words", lambda w: w.isin(both_cases))).cast("long").alias("n_stop_words"),
-        F.transform(windows, lambda i: F.xxhash64(F.slice("__words", i, WINDOW))).alias("__hashes"),
+    n = F.size(words_)
+    windows = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(windows, lambda i: F.xxhash64(F.slice(words_, i, WINDOW)))
+    repeated = let(
+        hashes,
+        # Most texts repeat nothing, and sort nothing.
+        lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _repeated_words(h)).otherwise(_long(0)),
     )
-    return _with_repeats(hashed)
-
-
-def _with_repeats(hashed: DataFrame) -> DataFrame:
-    plain = [c for c in hashed.columns if c != "__hashes"]
-    size = F.size("__hashes")
-    # Positions take the lower bits; most texts repeat nothing and sort nothing.
-    bits = F.ceil(F.log2(F.greatest(size, F.lit(1)) + F.lit(1))).cast("int")
-    repeats = F.size(F.array_distinct("__hashes")) < size
-    base = hashed.select(
-        *plain,
-        F.when(repeats, F.col("__hashes")).otherwise(F.array().cast("array<bigint>")).alias("__hashes"),
-        bits.alias("__bits"),
+    return F.struct(
+        _long(n).alias("n_words"),
+        _long(F.size(F.filter(words_, lambda w: w.isin(both_cases)))).alias("n_stop_words"),
+        repeated.alias("n_repeat_words"),
     )
-    keyed = base.select(
-        "*",
-        F.sort_array(
-            F.transform(
-                "__hashes",
-                lambda h, i: F.call_function("shiftleft", F.call_function("shiftright", h, F.col("__bits")), F.col("__bits")) + i.cast("long"),
-            )
-        ).alias("__keys"),
+
+
+def _line_counts(lines: Column) -> Column:
+    return F.struct(
+        _long(F.size(lines)).alias("n_lines"),
+        _long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
     )
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1
 
-    def hash_of(key: Column) -> Column:
-        return F.get("__hashes", key.bitwiseAND(F.col("__mask")).cast("int"))
 
-    def again(key: Column, at: Column) -> Column:
-        mine = hash_of(key)
-        return F.coalesce(mine == hash_of(F.get("__keys", at - 1)), F.lit(False)) | F.coalesce(
-            mine == hash_of(F.get("__keys", at + 1)), F.lit(False)
-        )
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Counts of every text beside the columns in ``docs``.
 
-    found = keyed.select("*", mask.alias("__mask"))
-    found = found.select(
-        *plain,
-        F.sort_array(
-            F.transform(F.filter("__keys", again), lambda key: key.bitwiseAND(F.col("__mask")))
-        ).alias("__at"),
-    )
-    steps = F.zip_with(
-        F.slice("__at", 1, F.greatest(F.size("__at") - 1, F.lit(0))),
-        F.slice("__at", 2, F.greatest(F.size("__at") - 1, F.lit(0))),
-        lambda a, b: F.least(b - a, F.lit(WINDOW).cast("long")),
+    ``n_repeat_words`` counts the words inside 8-word windows that occur twice or more
+    in their text.  Windows are compared by 64-bit hashes.  Everything is one expression
+    over the single text, with intermediate arrays bound once, so that a filter on the
+    counts may be pushed down without harm.
+
+    Null and empty texts have zero of everything.  Columns of ``docs`` with the name of
+    a count are replaced in the result.
+    """
+    value = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(value, "\n"), lambda line: F.length(F.translate(line, _NO_GAPS, "")) > 0)
+    shouted = F.regexp_count(value, F.lit(r"(^|[\x20\x09-\x0D])[A-ZÀ-Þ]{3}"))
+    kept = [c for c in docs.columns if c == text or c not in COUNTS]
+    counted = docs.select(
+        *kept,
+        let(words(value), _word_counts).alias("__words"),
+        let(lines, _line_counts).alias("__lines"),
+        _long(F.length(F.translate(value, _NO_GAPS, ""))).alias("word_chars"),
+        _long(F.length(value) - F.length(F.translate(value, SYMBOLS, ""))).alias("n_symbols"),
+        _long(shouted).alias("n_shouted_words"),
     )
-    covered = F.when(F.size("__at") == 0, F.lit(0).cast("long")).otherwise(_sum(steps) + WINDOW)
-    return found.select(*plain, covered.alias("n_repeat_words"))
+    return counted.select(*kept, "__words.*", "__lines.*", "word_chars", "n_symbols", "n_shouted_words")
 
 
 def _ratio(a: str, b: str) -> Column:
