@@ -686,6 +686,15 @@ SELECT DISTINCT unnest(json_keys(power_json)) AS key FROM raw WHERE power_json I
 add("json_widen", "raw", """
 SELECT prom_id, (power_json->>'0')::DOUBLE AS "power_json-0",
   (power_json->>'1')::DOUBLE AS "power_json-1" FROM raw""")
+add("json_long", "raw", """
+keys AS (SELECT prom_id, power_json, unnest(json_keys(power_json)) AS key FROM raw);;
+SELECT prom_id, key, TRY_CAST(json_extract_string(power_json, '$."' || key || '"') AS DOUBLE) AS value FROM keys""")
+add("json_long_props", "", """
+keys AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events);;
+SELECT event_id, key, TRY_CAST(json_extract_string(props, '$."' || key || '"') AS DOUBLE) AS value FROM keys""")
+add("json_keys_props", "", """
+keys AS (SELECT DISTINCT unnest(json_keys(props)) AS key FROM events);;
+SELECT key FROM keys""")
 add("json_aggregate", "raw", """
 w AS (SELECT prom_id, (power_json->>'0')::DOUBLE AS a, (power_json->>'1')::DOUBLE AS b FROM raw);;
 SELECT prom_id, round(least(a, b), 2) AS "power_json-min", round(greatest(a, b), 2) AS "power_json-max",

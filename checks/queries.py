@@ -699,10 +699,26 @@ def json_keys(spark, base):
 
 @query("json_widen")
 def json_widen(spark, base):
-    wide = jsonmap.json_widen(raw(spark, base), "power_json")
+    wide = jsonmap.json_widen(raw(spark, base), "power_json", ("0", "1"))
     return wide.select("prom_id", *[F.col(c) for c in wide.columns if c.startswith("power_json-")])
 
 
+@query("json_long")
+def json_long(spark, base):
+    return jsonmap.json_long(raw(spark, base).select("prom_id", "power_json"), "power_json")
+
+
+@query("json_long_props")
+def json_long_props(spark, base):
+    """The JSON text of the event stream itself."""
+    return jsonmap.json_long(load(spark, f"{base}/events.parquet").select("event_id", "props"), "props")
+
+
+@query("json_keys_props")
+def json_keys_props(spark, base):
+    return jsonmap.json_keys(load(spark, f"{base}/events.parquet"), "props")
+
+
 @query("json_aggregate")
 def json_aggregate(spark, base):
     rows = raw(spark, base).select("prom_id", "power_json")

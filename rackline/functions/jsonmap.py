@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAP_TYPE = "map<string,string>"
-# More columns than this cannot sensibly be made from one map.
-MAX_KEYS = 10_000
 
 
 def parsed(col: str) -> Column:
@@ -22,22 +20,24 @@ def json_keys(df: DataFrame, col: str) -> DataFrame:
     return keys.orderBy(F.length("key"), "key")
 
 
-def discover_keys(df: DataFrame, col: str) -> list[str]:
-    """The keys as a list, for column names; refuses maps with too many."""
-    keys = [r["key"] for r in json_keys(df, col).take(MAX_KEYS + 1)]
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"{col} has more than {MAX_KEYS} keys; name the wanted ones")
-    return keys
+def json_long(df: DataFrame, col: str, data_type: str = "double") -> DataFrame:
+    """One row per entry of the map, with ``key`` and ``value`` in place of ``col``.
+
+    Serves any number of keys: nothing about them is known while the plan is built.
+    Unreadable values are null; rows without entries give none.
+    """
+    rest = [c for c in df.columns if c not in (col, "key", "value")]
+    entries = df.select(*rest, F.explode(parsed(col)).alias("key", "text"))
+    return entries.select(*rest, "key", F.col("text").try_cast(data_type).alias("value"))
 
 
 def json_widen(
-    df: DataFrame, col: str, data_type: str = "double", keys: Sequence[str] | None = None
+    df: DataFrame, col: str, keys: Sequence[str], data_type: str = "double"
 ) -> DataFrame:
-    """One column ``col-key`` per key; a missing key or unreadable value is null.
+    """One column ``col-key`` per wanted key; a missing key or unreadable value is null.
 
-    ``col`` itself becomes the parsed map.
+    ``col`` itself becomes the parsed map.  :func:`json_keys` lists the keys there are.
     """
-    keys = discover_keys(df, col) if keys is None else keys
     as_map = df.withColumn(col, parsed(col))
     return as_map.select(
         "*", *[F.col(col)[F.lit(k)].try_cast(data_type).alias(f"{col}-{k}") for k in keys]

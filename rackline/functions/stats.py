@@ -21,8 +21,3 @@ def null_if_nan(c: Column) -> Column:
 
 def count_where(predicate: Column) -> Column:
     return F.count(F.when(predicate, F.lit(1)))
-
-
-def share_where(predicate: Column) -> Column:
-    """Fraction of rows that meet the predicate; unknown counts as not met."""
-    return F.avg(F.when(predicate, 1.0).otherwise(0.0))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def seconds_between(start: str, end: str) -> Column:
-    return F.timestamp_diff("SECOND", F.col(start), F.col(end))
+    """Seconds with their fraction, to the microsecond."""
+    return F.timestamp_diff("MICROSECOND", F.col(start), F.col(end)) / 1e6
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -17,11 +18,12 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def run_seconds() -> Column:
-    return seconds_between("start_date", "end_date")
+    """Whole seconds, of which either end is rounded down first."""
+    return epoch_seconds(F.col("end_date")) - epoch_seconds(F.col("start_date"))
 
 
 def run_hours() -> Column:
-    return run_seconds() / 3600.0
+    return seconds_between("start_date", "end_date") / 3600.0
 
 
 def wait_hours() -> Column:

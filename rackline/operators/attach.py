@@ -5,13 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rackline.sources.tables import materialise
 
-# A broadcast table of this many narrow rows stays around some tens of megabytes.
-BROADCAST_ROWS = 200_000
-
 
 def same_keys(left: DataFrame, left_keys, right: DataFrame, right_keys):
     """Null-safe equality of key columns, for joining a group's result back."""
@@ -19,23 +15,14 @@ def same_keys(left: DataFrame, left_keys, right: DataFrame, right_keys):
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def attach(
-    fact: DataFrame,
-    dimension: DataFrame,
-    on,
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def attach(fact: DataFrame, dimension: DataFrame, on, how: str = "left") -> DataFrame:
     """Join ``dimension`` to ``fact`` on equal, non-null keys.
 
-    The row count of the dimension is measured first.  Up to ``max_rows`` it is
-    broadcast, so the fact table is neither shuffled nor bound to the key's
-    skew; beyond that it is an ordinary equi-join, whose skewed partitions the
-    adaptive planner splits.
+    A plain equi-join: the planner broadcasts the dimension if its bytes are below
+    ``spark.sql.autoBroadcastJoinThreshold``, by estimate or as measured while running,
+    and splits skewed partitions otherwise.
     """
-    keys = [on] if isinstance(on, str) else list(on)
-    small = dimension.count() <= max_rows
-    return fact.join(F.broadcast(dimension) if small else dimension, keys, how)
+    return fact.join(dimension, [on] if isinstance(on, str) else list(on), how)
 
 
 def attach_group(fact: DataFrame, groups: DataFrame, by) -> DataFrame:

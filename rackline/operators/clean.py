@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rackline.sources.tables import columns_of_type
+
 EMPTY_MAP = "{}"
 
 
 def _fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    values: dict[str, str | float] = {}
-    for c in cols:
-        kind = df.schema[c].dataType
-        if isinstance(kind, T.StringType):
-            values[c] = EMPTY_MAP
-        elif isinstance(kind, T.DoubleType):
-            values[c] = 0.0
-    return df.fillna(values) if values else df
+    wanted = df.select(*dict.fromkeys(cols))
+    texts = columns_of_type(wanted, T.StringType)
+    numbers = columns_of_type(wanted, T.DoubleType)
+    fillers = {**dict.fromkeys(texts, EMPTY_MAP), **dict.fromkeys(numbers, 0.0)}
+    return df.fillna(fillers) if fillers else df
 
 
 def fill_drop(

@@ -11,6 +11,7 @@ from rackline.functions import nodes, ratios
 from rackline.operators.attach import attach
 from rackline.operators.distribution import winsorize
 
+# Numeric columns of the hardware table.
 ATTRIBUTES = (
     "cpu_count",
     "cpu_core_count_total",

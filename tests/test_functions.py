@@ -132,14 +132,26 @@ MAPS = [
 
 def test_json_keys_and_columns(spark):
     df = spark.createDataFrame(MAPS, "id int, m string")
-    assert jsonmap.discover_keys(df, "m") == ["0", "1", "10"]
-    wide = {r.id: r for r in jsonmap.json_widen(df, "m").collect()}
+    keys = [r.key for r in jsonmap.json_keys(df, "m").collect()]
+    assert keys == ["0", "1", "10"]
+    wide = {r.id: r for r in jsonmap.json_widen(df, "m", keys).collect()}
     assert [wide[1][f"m-{k}"] for k in ("0", "1", "10")] == [1.5, 2.25, 4.0]
     assert [wide[2][f"m-{k}"] for k in ("0", "1", "10")] == [3.0, None, None]
     assert [wide[6][f"m-{k}"] for k in ("0", "1", "10")] == [None, 5.0, None]
     assert wide[3]["m-0"] is None and wide[4]["m-0"] is None and wide[5]["m-0"] is None
 
 
+def test_json_entries_as_rows(spark):
+    df = spark.createDataFrame(MAPS, "id int, m string")
+    rows = {(r.id, r.key): r.value for r in jsonmap.json_long(df, "m").collect()}
+    assert rows == {
+        (1, "0"): 1.5, (1, "1"): 2.25, (1, "10"): 4.0, (2, "0"): 3.0, (6, "0"): None, (6, "1"): 5.0
+    }
+    many = "{" + ", ".join(f'"{i}": {i}' for i in range(20_000)) + "}"
+    wide = spark.createDataFrame([(1, many)], "id int, m string")
+    assert jsonmap.json_long(wide, "m").where("value = double(key)").count() == 20_000
+
+
 def test_json_statistics(spark):
     df = spark.createDataFrame(MAPS, "id int, m string")
     out = jsonmap.json_aggregate(df, "m", ("min", "mean", "max", "sum"))

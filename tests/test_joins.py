@@ -225,12 +225,21 @@ def test_lower_triangle(spark):
     assert all(STATES.index(r.state) >= STATES.index(r.state_2) for r in kept)
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_attach_same_result_with_and_without_broadcast(spark, limit):
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_attach_leaves_the_broadcast_to_the_byte_threshold(spark, threshold):
     fact = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, k string")
     dim = spark.createDataFrame([("a", 10), ("c", 30)], "k string, v int")
-    rows = {r.id: r.v for r in attach(fact, dim, "k", max_rows=limit).collect()}
-    assert rows == {1: 10, 2: None, 3: None}
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in settings:
+        spark.conf.set(name, threshold)
+    try:
+        out = attach(fact, dim, "k")
+        assert {r.id: r.v for r in out.collect()} == {1: 10, 2: None, 3: None}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (threshold != "-1")
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
 
 
 def test_attach_group_keeps_the_null_group(spark):
