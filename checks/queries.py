@@ -470,8 +470,8 @@ def ratios_clipped(spark, base):
     )
 
 
-def percent(spark, base, *keep: str) -> DataFrame:
-    return hardware.utilisation_percent(views.samples(spark, base), hw(spark, base), keep=keep)
+def percent(spark, base, *keep: str, cols=ratios.RATIOS) -> DataFrame:
+    return hardware.utilisation_percent(views.samples(spark, base), hw(spark, base), cols, keep=keep)
 
 
 @query("ratios_winsorized", 9)
@@ -509,7 +509,8 @@ def ratio_box_outliers(spark, base):
 
 @query("hot_share")
 def hot_share(spark, base):
-    return hardware.hot_share(percent(spark, base))
+    column = "gpu_temp_max_ratio"
+    return hardware.hot_share(percent(spark, base, cols=[column]), column)
 
 
 # --- GPU cards ----------------------------------------------------------------

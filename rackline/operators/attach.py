@@ -33,7 +33,12 @@ def attach_group(fact: DataFrame, groups: DataFrame, by) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``, and otherwise runs an equi-join
     whose skewed partitions it splits.  A null key is a group of its own.
     """
+    return join_group(fact, materialise(groups), by)
+
+
+def join_group(fact: DataFrame, stored: DataFrame, by) -> DataFrame:
+    """As :func:`attach_group`, for results that are a stored table already."""
     keys = list(by)
     hidden = [f"__{k}" for k in keys]
-    right = materialise(groups.withColumnsRenamed(dict(zip(keys, hidden, strict=True))))
+    right = stored.withColumnsRenamed(dict(zip(keys, hidden, strict=True)))
     return fact.join(right, same_keys(fact, keys, right, hidden), "left").drop(*hidden)

@@ -11,13 +11,15 @@ ECDF are exact for any number of distinct values.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackline.functions.stats import count_where, null_if_nan
-from rackline.operators.attach import attach_group
+from rackline.operators.attach import attach_group, join_group
 from rackline.operators.ordered import running_total, segmented
+from rackline.sources.tables import materialise
 
 
 def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name="variable", value="value"):
@@ -87,12 +89,87 @@ def _quantile_columns(qs: Sequence[float], names: Sequence[str]) -> list[Column]
     return columns
 
 
+# Share of a group's rows on either side of a quantile that a first bracket spans.
+MARGIN = 0.0005
+
+
+def _brackets(long: DataFrame, keys: Sequence[str], qs: Sequence[float], margin: float):
+    """Per group its number of rows and, for every quantile, bounds that should enclose it."""
+    bounds = []
+    for i, q in enumerate(qs):
+        low, high = max(0.0, q - margin), min(1.0, q + margin)
+        bounds += [
+            (F.percentile_approx("value", low) if low > 0 else F.min("value")).alias(f"low_{i}"),
+            (F.percentile_approx("value", high) if high < 1 else F.max("value")).alias(f"high_{i}"),
+        ]
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *bounds)
+
+
+def _bracketed(long: DataFrame, keys: Sequence[str], qs: Sequence[float], names, margin: float):
+    """One row per group and the quantiles; null where the bracket missed its rank."""
+    brackets = materialise(_brackets(long, keys, qs, margin))
+    # A row counts once for every quantile whose bracket it is below or within.
+    entry = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col("value") <= F.col(f"high_{i}"),
+                    F.struct(
+                        F.lit(i).alias("q"),
+                        F.when(F.col("value") >= F.col(f"low_{i}"), F.col("value")).alias("value"),
+                    ),
+                )
+                for i in range(len(qs))
+            ]
+        )
+    )
+    bounded = join_group(long, brackets, keys)
+    entries = bounded.select(*keys, F.explode(entry).alias("entry")).select(*keys, "entry.*")
+    counts = materialise(entries.groupBy(*keys, "q", "value").agg(F.count(F.lit(1)).alias("n")))
+    group = [*keys, "q"]
+    below = counts.where("value IS NULL").select(*group, F.col("n").alias("below"))
+    inside = counts.where("value IS NOT NULL")
+    placed = running_total(segmented(inside, group, ["value"]), group, ["value"], "n", "within")
+    placed = join_group(placed, below, group)
+    cum = F.coalesce("below", F.lit(0)) + F.col("within")
+    placed = join_group(placed, brackets.select(*keys, "total"), keys).withColumn("cum", cum)
+    columns = []
+    for i, (q, name) in enumerate(zip(qs, names, strict=True)):
+        place = F.lit(float(q)) * (F.col("total") - 1)
+
+        def value_at(rank: Column, i: int = i) -> Column:
+            here = (F.col("q") == i) & (F.col("cum") - F.col("n") <= rank) & (rank < F.col("cum"))
+            return F.max(F.when(here, F.col("value")))
+
+        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
+        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return placed.groupBy(*keys).agg(*columns)
+
+
 def quantiles(
-    df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    cols: Sequence[str],
+    qs: Sequence[float],
+    by: Sequence[str] = (),
+    margin: float = MARGIN,
 ) -> DataFrame:
-    """Exact interpolated quantiles, one row per group and column, named ``p<percent>``."""
+    """Exact interpolated quantiles, one row per group and column, named ``p<percent>``.
+
+    Approximate quantiles give a bracket around each wanted rank.  Rows below a bracket
+    are counted, and only values inside are put in order, so no copy of the table is
+    written and almost nothing is sorted.  The counts show whether the rank lies inside;
+    if it does not, the bracket is widened, in the end to all values.
+
+    Runs its jobs while it is called, as the next bracket depends on the last one.
+    """
     names = [_quantile_name(q) for q in qs]
-    return ranked_values(df, cols, by).groupBy(*by, "variable").agg(*_quantile_columns(qs, names))
+    long, keys = doubles_long(df, cols, by), [*by, "variable"]
+    while True:
+        found = materialise(_bracketed(long, keys, qs, names, margin))
+        missed = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in names])
+        if margin >= 1 or found.where(missed).isEmpty():
+            return found
+        margin *= 10
 
 
 def describe(

@@ -55,6 +55,25 @@ def test_quantiles(df, table, qs):
     assert rows[0].__fields__[2:] == ["p0", "p0_01", "p30", "p74_15", "p90_72", "p99_99", "p100"]
 
 
+@pytest.mark.parametrize("margin", [1e-9, 0.0005, 1.0])
+def test_quantiles_with_ties_and_brackets_that_miss(spark, margin):
+    rng = random.Random(2)
+    values = [1.0] * 700 + [rng.random() for _ in range(500)] + [9.0] * 3
+    df = spark.createDataFrame([(v, 5.0, None) for v in values], "x double, same double, none double")
+    qs = [0.0, 0.2, 0.417, 0.5, 0.9985, 1.0]
+    found = distribution.quantiles(df, ["x", "same", "none"], qs, margin=margin).collect()
+    rows = {r.variable: list(r)[1:] for r in found}
+    assert rows["x"] == pytest.approx(list(pd.Series(values).quantile(qs)))
+    assert rows["same"] == [5.0] * len(qs)
+    assert set(rows) == {"x", "same"}
+
+
+def test_quantiles_of_no_rows(spark):
+    df = spark.createDataFrame([], "x double, g string")
+    assert distribution.quantiles(df, ["x"], [0.5], ["g"]).collect() == []
+    assert distribution.winsorize(df, ["x"], ["g"]).collect() == []
+
+
 def test_ecdf(df, table):
     rows = distribution.ecdf(df, "y", ["g"]).orderBy("g", "y").collect()
     for g, part in table.groupby("g"):
