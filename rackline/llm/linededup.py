@@ -50,8 +50,9 @@ def repeated_runs(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS)
     either end; these cover the maximal runs.  Pieces overlap.
     """
     lines = work.save(_numbered_lines(docs).distinct(), "lines")
+    # Counts are written before they are joined back: the planner can split a hot line's join then.
     again = lines.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2")
-    inside = lines.join(again, ["k1", "k2"])
+    inside = lines.join(work.save(again, "again"), ["k1", "k2"])
 
     by_line = Window.partitionBy("uid").orderBy("q")
     stretch = inside.withColumn("seg", F.col("q") - F.row_number().over(by_line))
@@ -79,7 +80,7 @@ def repeated_runs(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS)
     pieces = pieces.unionByName(turned).where("length IS NOT NULL").distinct()
     longest = stretch.agg(F.greatest(F.max("ahead"), F.max("back"))).first()[0] or 1
 
-    names = _ranked(stretch.select("k1", "k2").distinct())
+    names = work.save(_ranked(stretch.select("k1", "k2").distinct()), "names0")
     level = work.save(stretch.join(names, ["k1", "k2"]).select("uid", "q", "rank"), "rank0")
     levels, k = [level.withColumn("k", F.lit(0))], 0
     while 2 ** (k + 1) <= longest:
@@ -89,6 +90,7 @@ def repeated_runs(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS)
         names = pairs.groupBy("rank", "next").count().where("count > 1").select("rank", "next")
         names = names.orderBy("rank", "next").withColumn("new", F.monotonically_increasing_id())
         k += 1
+        names = work.save(names, f"names{k}")
         level = work.save(pairs.join(names, ["rank", "next"]).select("uid", "q", F.col("new").alias("rank")), f"rank{k}")
         work.drop(f"pairs{k}")
         levels.append(level.withColumn("k", F.lit(k)))
@@ -104,7 +106,8 @@ def repeated_runs(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS)
     pieces = work.save(pieces, "pieces")
     place = F.struct("doc_id", "uid", "start")
     groups = pieces.groupBy("length", "left", "right").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    later = pieces.join(groups.where("n > 1").drop("n"), ["length", "left", "right"]).where(place != F.col("first"))
+    groups = work.save(groups.where("n > 1").drop("n"), "groups")
+    later = pieces.join(groups, ["length", "left", "right"]).where(place != F.col("first"))
     return later.select("uid", "start", "length")
 
 
@@ -123,7 +126,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = work.save(spans.select(F.col("uid").alias("__uid"), "__spans"), "spans")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*kept, _document()[1].alias("__id"))
-    rows = rows.join(spans, F.col("__id") == F.col("__uid"), "left")
+    # The same join at every size: texts are dealt by document, however few spans there are.
+    rows = rows.join(spans.hint("merge"), F.col("__id") == F.col("__uid"), "left")
     edited = let(F.split("text", "\n", -1), lambda lines: _edited(lines, F.col("__spans")))
     rows = rows.select(*kept, edited.alias("__edit"))
     text = F.when(F.col("__edit.n_removed") > 0, F.col("__edit.text")).otherwise(F.col("text")).alias("text")
