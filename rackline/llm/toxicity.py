@@ -164,14 +164,18 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network:
     """Train on labelled rows outside the held-out fold; null labels, ids and texts are left out."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(
-        known.where(~held_out(F.col("doc_id"), settings.folds)), "doc_id"
-    )
-    rows = rows.where(F.octet_length("text") <= settings.sample_bytes)
+    known = known.where(~held_out(F.col("doc_id"), settings.folds))
+    # The sample is chosen by ids; only its own texts are ever moved.
+    short = docs.where(F.octet_length("text") <= settings.sample_bytes).select("doc_id")
+    usable = short.join(known, "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = []
     for toxic in (0, 1):
-        part = rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        sample += [(r[0], toxic) for r in part.select("text").limit(settings.sample).toLocalIterator()]
+        ids = usable.where(F.col("toxic") == toxic).orderBy(*order).select("doc_id").limit(settings.sample).collect()
+        chosen = docs.sparkSession.createDataFrame(ids, "doc_id long")
+        texts = docs.where(F.octet_length("text") <= settings.sample_bytes).select("doc_id", "text")
+        part = texts.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(settings.sample)
+        sample += [(r.text, toxic) for r in part.collect()]
     return train(sample, settings)
 
 
