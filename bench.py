@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma-separated names, or ``all``).
+BENCH_QUERIES (comma-separated names, or ``all``), BENCH_REPEATS (default 3; the median
+counts).
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ import os
 import sys
 import time
 from pathlib import Path
+from statistics import median
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from checks.queries import REGISTRY  # noqa: E402
+from rackline.sources.tables import intermediate_tables  # noqa: E402
 
 HEADLINE = (
     "interval_join_pairs",
@@ -74,11 +77,15 @@ def main() -> None:
     # starting the engine.
     REGISTRY["node_expand"](spark, base).write.format("noop").mode("overwrite").save()
 
-    seconds = {}
+    seconds, repeats = {}, int(os.environ.get("BENCH_REPEATS", "3"))
     for name in names:
-        begin = time.perf_counter()
-        REGISTRY[name](spark, base).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - begin, 3)
+        runs = []
+        for _ in range(repeats):
+            begin = time.perf_counter()
+            with intermediate_tables(spark):
+                REGISTRY[name](spark, base).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - begin)
+        seconds[name] = round(median(runs), 3)
     result = {
         "metric": "headline_total",
         "value": round(sum(seconds.values()), 3),

@@ -76,6 +76,9 @@ SELECT gpu_node, state, job_runtime_seconds FROM metrics""")
 add("class_state_metrics", "joined", METRICS + """;;
 SELECT gpu_node, state, submissions, job_runtime_seconds, round(node_energy, 2) AS node_energy
 FROM metrics""")
+ORACLE["named_tables"] = ORACLE["class_state_metrics"]
+add("select_doubles", "jobs", """
+SELECT numnodes, count(*) AS n, sum(numcores)::BIGINT AS cores FROM jobs GROUP BY numnodes""")
 add("class_comparison", "joined", METRICS + COMPARED + """;;
 SELECT * REPLACE (round(job_energy, 2) AS job_energy) FROM compared""")
 add("normalised_metrics", "joined", METRICS + """;;
@@ -124,7 +127,8 @@ SELECT prom_id, node, {micros("timestamp")}, slurm_id, state, numnodes, numcores
 FROM js""")
 add("joined_written", "joined", f"""
 SELECT prom_id, node, {micros("timestamp")}, slurm_id, state, {micros("submit_date")},
-  {micros("end_date")}, round(node_load1, 6) AS node_load1 FROM js""")
+  {micros("end_date")}, round(node_load1, 6) AS node_load1,
+  (SELECT count(*) FROM job_nodes n WHERE n.id = slurm_id) AS listed_nodes FROM js""")
 ORACLE["loaded_every_fifth"] = """
 SELECT event_id, user_id, event_type, round(value, 6) AS value
 FROM (SELECT *, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS i FROM events)
@@ -179,7 +183,7 @@ SELECT 'jobs' AS table_name, count(*) AS row_count, 8::BIGINT AS column_count,
   epoch_us(min(start_date)) AS first_time, epoch_us(max(end_date)) AS last_time FROM jobs
 UNION ALL SELECT 'samples', count(*), 28, epoch_us(min("timestamp")), epoch_us(max("timestamp"))
 FROM samples
-UNION ALL SELECT 'job_samples', count(*), 11, epoch_us(min("timestamp")), epoch_us(max("timestamp"))
+UNION ALL SELECT 'job_samples', count(*), 28 + 8, epoch_us(min("timestamp")), epoch_us(max("timestamp"))
 FROM js""")
 
 # --- jobs ---------------------------------------------------------------------
@@ -340,7 +344,7 @@ add("hardware_semi", "samples hardware", """
 SELECT * FROM hardware WHERE node IN (SELECT node FROM samples)""")
 FLAGGED = """
 flagged AS (SELECT *, CASE WHEN substr(node, 1, 3) IN ('r16', 'r17', 'r18', 'r19') THEN 1 ELSE 0 END
-    AS gpu_node FROM hardware),
+    AS gpu_node FROM hardware WHERE node IN (SELECT node FROM samples)),
 units AS (SELECT node, cpu_model, gpu_model, cpu_count, cpu_core_count_total, cpu_tdp_total,
     round_even(cpu_memory_bytes_total / 1073741824, 0) AS cpu_memory_giga_bytes_total,
     round_even(node_filesystem_size_bytes_total / 1073741824, 0) / 1024
@@ -383,18 +387,18 @@ places AS (SELECT *, rank() OVER (PARTITION BY {by}, variable ORDER BY n DESC) A
 SELECT {by}, variable, value, n FROM places WHERE place = 1"""
 
 
-add("hardware_units", "hardware", FLAGGED + ";; SELECT * FROM units")
-add("hardware_describe", "hardware",
+add("hardware_units", "samples hardware", FLAGGED + ";; SELECT * FROM units")
+add("hardware_describe", "samples hardware",
     FLAGGED + ";;" + described("units", UNIT_NUMBERS, "gpu_node", digits=4))
-add("hardware_modes", "hardware",
+add("hardware_modes", "samples hardware",
     FLAGGED + modes("units", ["cpu_model", "gpu_model", *UNIT_NUMBERS], "gpu_node"))
-add("hardware_totals", "hardware", FLAGGED + ";;" + " UNION ALL ".join(
+add("hardware_totals", "samples hardware", FLAGGED + ";;" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, round(sum({c})::DOUBLE, 6) AS total FROM units"
     for c in [*UNIT_NUMBERS, "gpu_node"]))
-add("rack_hardware", "hardware", FLAGGED + ";; SELECT * FROM by_rack")
-add("rack_describe", "hardware",
+add("rack_hardware", "samples hardware", FLAGGED + ";; SELECT * FROM by_rack")
+add("rack_describe", "samples hardware",
     FLAGGED + ";;" + described("by_rack", RACK_NUMBERS, "gpu_rack", digits=4))
-add("rack_modes", "hardware", FLAGGED + modes("by_rack", RACK_NUMBERS, "gpu_rack"))
+add("rack_modes", "samples hardware", FLAGGED + modes("by_rack", RACK_NUMBERS, "gpu_rack"))
 
 RAW_RATIOS = """
 wide AS (SELECT s.*, h.* EXCLUDE (node) FROM samples s LEFT JOIN hardware h ON h.node = s.node),
@@ -523,6 +527,7 @@ add("gpu_slot_ratios", "samples hardware", CARDS + ";; SELECT prom_id, node, gpu
 add("gpu_slot_stats", "samples hardware", CARDS + ";; SELECT gpu_count, " + ", ".join(
     f"round(avg(power_{i}), 6) AS power_{i}_mean, round(stddev_samp(power_{i}), 6) AS power_{i}_std"
     for i in range(4)) + " FROM cards GROUP BY gpu_count")
+ORACLE["named_cards"] = ORACLE["gpu_slot_stats"]
 add("gpu_nodes_count", "samples hardware", CARDS + """;;
 SELECT gpu_count, count(DISTINCT node) AS n_node FROM cards
 WHERE power_0 >= 0 AND power_1 >= 0 AND power_2 >= 0 AND power_3 >= 0 GROUP BY gpu_count""")
@@ -553,11 +558,15 @@ peers AS (SELECT slurm_id, gpu_node, node, "timestamp", """ + ", ".join(
     f"max(CASE WHEN state = '{s}' THEN 1 ELSE 0 END) AS \"{s}\", "
     f"count(CASE WHEN state_2 = '{s}' THEN 1 END) AS \"{s}_other_jobs\"" for s in STATES) + """
   FROM pairs GROUP BY slurm_id, gpu_node, node, "timestamp")"""
-CORR = PEERS + ",\nmatrix AS (" + " UNION ALL ".join(
-    f"SELECT gpu_node, '{a}' AS state, '{b}' AS state_2, "
+# All coefficients in one pass over the peers, then one row for each pair of states.
+CORR = PEERS.replace("peers AS (", "peers AS MATERIALIZED (") + """,
+wide AS (SELECT gpu_node, """ + ", ".join(
     f'covar_pop("{a}", "{b}_other_jobs") / '
-    f'nullif(stddev_pop("{a}") * stddev_pop("{b}_other_jobs"), 0) AS corr '
-    "FROM peers GROUP BY gpu_node"
+    f'nullif(stddev_pop("{a}") * stddev_pop("{b}_other_jobs"), 0) AS "{a}|{b}"'
+    for a in STATES for b in STATES) + """
+  FROM peers GROUP BY gpu_node),
+matrix AS (""" + " UNION ALL ".join(
+    f"SELECT gpu_node, '{a}' AS state, '{b}' AS state_2, \"{a}|{b}\" AS corr FROM wide"
     for a in STATES for b in STATES) + ")"
 
 add("high_load_rows", "joined", HIGH_LOAD + """;;
@@ -619,6 +628,7 @@ add("profile", "raw", "p AS (" + " UNION ALL ".join(
     profiled(c, kind) for c, kind in (
         ("prom_id", "bigint"), ("node", "string"), ("gpu_node", "int"),
         ("node_ambient_temp", "double"), ("node_power_usage", "double"), ("power_json", "string"),
+        ("nvidia_gpu_power_usage_milliwatts_0", "double"),
     )) + """);;
 SELECT *, CASE WHEN mean > 0 THEN round(std / mean, 4) END AS coeff_var FROM p""")
 add("null_mask", "raw", "SELECT prom_id, " + ", ".join(

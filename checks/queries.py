@@ -20,6 +20,7 @@ from rackline.plans import energy, gpu, hardware, integration, jobs, peers
 from rackline.sources import views
 from rackline.sources.loader import read_table
 from rackline.sources.tables import (
+    Tables,
     load,
     materialise,
     select_by_dtype,
@@ -70,8 +71,12 @@ def hw(spark: SparkSession, base: str) -> DataFrame:
     return views.hardware(spark, base)
 
 
+def observed_hw(spark: SparkSession, base: str) -> DataFrame:
+    return hardware.observed_hardware(hw(spark, base), views.samples(spark, base))
+
+
 def flagged_hw(spark: SparkSession, base: str) -> DataFrame:
-    return nodes.flag_gpu(hw(spark, base), "node", views.GPU_NODES)
+    return nodes.flag_gpu(observed_hw(spark, base), "node", views.GPU_NODES)
 
 
 def micros(col: str):
@@ -167,13 +172,50 @@ def interval_join_pairs(spark, base):
     )
 
 
+def stored_tables(spark, base) -> Tables:
+    """The tables below one path, under their own names and with their own columns."""
+    tables = Tables(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    samples = views.samples(spark, base).withColumnRenamed("prom_id", "id")
+    samples.write.parquet(tables.path("node_samples"))
+    views.jobs(spark, base).write.parquet(tables.path("jobs"))
+    hw(spark, base).write.parquet(tables.path("node_hardware"))
+    return tables
+
+
+@query("named_tables", 2)
+def named_tables(spark, base):
+    """From the stored tables through the stored joined one to an analysis."""
+    tables = stored_tables(spark, base)
+    samples, job_table = tables.load(spark, "node_samples"), tables.load(spark, "jobs")
+    write_joined(integration.integrate(samples, job_table), tables.path("job_samples"))
+    return energy.class_state_metrics(energy.job_nodes(tables.load(spark, "job_samples")))
+
+
+@query("named_cards")
+def named_cards(spark, base):
+    tables = stored_tables(spark, base)
+    return gpu.slot_stats(
+        gpu.slot_ratios(tables.load(spark, "node_samples"), tables.load(spark, "node_hardware"))
+    )
+
+
+@query("select_doubles")
+def select_doubles(spark, base):
+    """Columns by type, of the table as registered under its logical name."""
+    tables = stored_tables(spark, base)
+    tables.register(spark, ["node_hardware", "jobs"])
+    return select_by_dtype(spark.table("jobs"), T.IntegerType).groupBy("numnodes").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("numcores").alias("cores")
+    )
+
+
 @query("joined_written")
 def joined_written(spark, base):
     """Through the sink and back: the joined table as other sessions would read it."""
     path = f"{shared_folder(spark)}/joined-{uuid.uuid4().hex}"
-    write_joined(joined(spark, base).drop("slurm_nodes"), path)
+    write_joined(joined(spark, base), path)
     return load(spark, path).select(
-        "prom_id", "node", micros("timestamp"), "slurm_id", "state", micros("submit_date"),
+        F.size("slurm_nodes").alias("listed_nodes"), "prom_id", "node", micros("timestamp"), "slurm_id", "state", micros("submit_date"),
         micros("end_date"), "node_load1",
     )
 
@@ -238,9 +280,7 @@ def overview(spark, base):
     tables = [
         profile.overview(views.jobs(spark, base), "jobs", "start_date", "end_date"),
         profile.overview(views.samples(spark, base), "samples", "timestamp", "timestamp"),
-        profile.overview(
-            joined(spark, base).select(*NARROW), "job_samples", "timestamp", "timestamp"
-        ),
+        profile.overview(joined(spark, base), "job_samples", "timestamp", "timestamp"),
     ]
     both = tables[0].unionByName(tables[1]).unionByName(tables[2])
     return both.select(
@@ -398,7 +438,7 @@ def hardware_join(spark, base):
 
 @query("hardware_semi")
 def hardware_semi(spark, base):
-    return hardware.observed_hardware(hw(spark, base), views.samples(spark, base))
+    return observed_hw(spark, base)
 
 
 @query("hardware_units")
@@ -433,18 +473,18 @@ def hardware_totals(spark, base):
 
 @query("rack_hardware")
 def rack_hardware(spark, base):
-    return ratios.convert_bytes(hardware.rack_hardware(hw(spark, base), views.GPU_NODES))
+    return ratios.convert_bytes(hardware.rack_hardware(observed_hw(spark, base), views.GPU_NODES))
 
 
 @query("rack_describe", 4)
 def rack_describe(spark, base):
-    units = ratios.convert_bytes(hardware.rack_hardware(hw(spark, base), views.GPU_NODES))
+    units = ratios.convert_bytes(hardware.rack_hardware(observed_hw(spark, base), views.GPU_NODES))
     return distribution.describe(units, _unit_columns(units), ["gpu_rack"])
 
 
 @query("rack_modes")
 def rack_modes(spark, base):
-    units = ratios.convert_bytes(hardware.rack_hardware(hw(spark, base), views.GPU_NODES))
+    units = ratios.convert_bytes(hardware.rack_hardware(observed_hw(spark, base), views.GPU_NODES))
     return distribution.modes(units, _unit_columns(units), ["gpu_rack"])
 
 
@@ -616,7 +656,8 @@ def null_pct_by_node(spark, base):
 def table_profile(spark, base):
     return profile.profile(
         raw(spark, base).select(
-            "prom_id", "node", "gpu_node", "node_ambient_temp", "node_power_usage", "power_json"
+            "prom_id", "node", "gpu_node", "node_ambient_temp", "node_power_usage", "power_json",
+            "nvidia_gpu_power_usage_milliwatts_0",
         )
     )
 

@@ -133,7 +133,8 @@ hardware AS (
     25769803776 * gpus AS gpu_memory_bytes_total,
     80 AS cpu_t_case_max, 100 AS cpu_per_core_temp_max, 90 AS gpu_temp_max
   FROM (SELECT ni, CASE WHEN ni < 36 THEN 0 WHEN ni % 6 < 4 THEN 4 ELSE 2 END AS gpus
-        FROM (SELECT DISTINCT (o_orderkey * 7919) % 60 AS ni FROM orders)))"""
+        FROM (SELECT (o_orderkey * 7919) % 60 AS ni FROM orders
+              UNION SELECT 60 + o_orderkey % 6 FROM orders)))"""
 
 PARTS = {
     "samples": SAMPLES,

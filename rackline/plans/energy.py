@@ -35,23 +35,12 @@ STATES = ("COMPLETED", "FAILED", "CANCELLED", "TIMEOUT", "OUT_OF_MEMORY", "NODE_
 def _over_jobs(shared: DataFrame) -> DataFrame:
     """One row per (job, node) from job-sample rows with a ``power_share``.
 
-    Class and state are grouping keys of the large aggregate: as aggregates,
-    text would force a sort of all rows.
+    The class follows from the node and the state from the job, so both are grouping
+    keys; as aggregates, text would force a sort of all rows.
     """
-    return (
-        shared.groupBy("slurm_id", "node", "gpu_node", "state")
-        .agg(
-            F.sum("power_share").alias("power_share"),
-            F.count("power_share").alias("readings"),
-            F.max(times.run_seconds()).alias("run_seconds"),
-        )
-        .groupBy("slurm_id", "node")
-        .agg(
-            F.try_divide(F.sum("power_share"), F.sum("readings")).alias("mean_power"),
-            F.max("run_seconds").alias("run_seconds"),
-            F.max("gpu_node").alias("gpu_node"),
-            F.min("state").alias("state"),
-        )
+    return shared.groupBy("slurm_id", "node", "gpu_node", "state").agg(
+        F.try_divide(F.sum("power_share"), F.count("power_share")).alias("mean_power"),
+        F.max(times.run_seconds()).alias("run_seconds"),
     )
 
 
@@ -89,12 +78,11 @@ def observed_job_nodes(
 def per_job(summary: DataFrame) -> DataFrame:
     """One row per job: class, state, run seconds and energy over its nodes.
 
-    Class and state are the largest flag and the smallest text over the job's
-    rows, so a job that touches a GPU node counts as a GPU job.
+    The class is the largest flag over the job's nodes, so a job that touches a GPU
+    node counts as a GPU job.
     """
-    return summary.groupBy("slurm_id").agg(
+    return summary.groupBy("slurm_id", "state").agg(
         F.max("gpu_node").alias("gpu_node"),
-        F.min("state").alias("state"),
         F.max("run_seconds").alias("run_seconds"),
         F.sum(F.col("mean_power") * F.col("run_seconds")).alias("energy"),
     )
@@ -102,15 +90,8 @@ def per_job(summary: DataFrame) -> DataFrame:
 
 def one_row_per_job(job_samples: DataFrame) -> DataFrame:
     """Class, state and run seconds of every observed job."""
-    return (
-        job_samples.groupBy("slurm_id", "gpu_node", "state")
-        .agg(F.max(times.run_seconds()).alias("run_seconds"))
-        .groupBy("slurm_id")
-        .agg(
-            F.max("gpu_node").alias("gpu_node"),
-            F.min("state").alias("state"),
-            F.max("run_seconds").alias("run_seconds"),
-        )
+    return job_samples.groupBy("slurm_id", "state").agg(
+        F.max("gpu_node").alias("gpu_node"), F.max(times.run_seconds()).alias("run_seconds")
     )
 
 

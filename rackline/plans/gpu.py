@@ -30,8 +30,9 @@ def slot_ratios(
     wide = with_hardware(samples, hardware).where(
         (F.col("gpu_node") == 1) & (F.col("gpu_count") >= min_cards)
     )
+    row_id = [c for c in ("prom_id", "id") if c in samples.columns][:1]
     return wide.selectExpr(
-        "prom_id",
+        *row_id,
         "node",
         "timestamp",
         "gpu_count",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -74,23 +75,33 @@ def spread_jobs(jobs: DataFrame) -> DataFrame:
     and time buckets are exploded and matched.  A stated number of partitions is
     kept as it is; without one, they would be merged by their small present size.
     """
-    return jobs.repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    setting = jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return jobs.repartition(int(setting), "id") if setting.isdigit() else jobs.repartition("id")
 
 
-def job_side(jobs: DataFrame) -> DataFrame:
-    """Jobs ready for the join: node array, plain state, renamed id."""
+def job_side(jobs: DataFrame, taken: Sequence[str] = ()) -> DataFrame:
+    """Jobs ready for the join: node array, plain state, renamed id, all other columns.
+
+    Columns whose names are ``taken`` by the samples get the prefix ``slurm_``.
+    """
+    changed = ("id", "node", "state")
     return jobs.select(
         F.col("id").alias("slurm_id"),
         nodes.expand_nodes(F.col("node")).alias("slurm_nodes"),
-        "submit_date",
-        "start_date",
-        "end_date",
         times.normalise_state(F.col("state")).alias("state"),
-        "numnodes",
-        "numcores",
+        *[
+            F.col(c).alias(f"slurm_{c}" if c in taken else c)
+            for c in jobs.columns
+            if c not in changed
+        ],
     )
 
 
+def named_samples(samples: DataFrame) -> DataFrame:
+    """Samples with their row id, ``id`` in the stored tables, as ``prom_id``."""
+    return samples if "prom_id" in samples.columns else samples.withColumnRenamed("id", "prom_id")
+
+
 def integrate(
     samples: DataFrame,
     jobs: DataFrame,
@@ -100,12 +111,14 @@ def integrate(
     """The joined table: one row per sample and job running on its node then.
 
     All columns of both sides are available; unused ones are pruned from the
-    scans, so no second join is needed to get wide columns back.
-
+    scans, so no second join is needed to get wide columns back.  The bounds of the
+    common time window are fetched while this is called, unless given.
     """
-    inside_jobs, inside_samples = restrict_to_window(jobs, samples, window)
+    inside_jobs, inside_samples = restrict_to_window(jobs, named_samples(samples), window)
     return interval_join(
-        inside_samples, job_side(spread_jobs(inside_jobs)), bucket_seconds=bucket_seconds
+        inside_samples,
+        job_side(spread_jobs(inside_jobs), inside_samples.columns),
+        bucket_seconds=bucket_seconds,
     )
 
 

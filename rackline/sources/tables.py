@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,35 +49,71 @@ def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+_own_folders: dict[str, str] = {}
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+#: Called with every DataFrame that is about to be written by :func:`materialise`.
+written: list[Callable[[DataFrame], None]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may go without it: driver and executors are then one
-    process, and a temporary folder is as durable as they are.
+    Where it is unset, a local master gets a temporary folder, which goes when the
+    process ends: driver and executors are one process there.  Any other master
+    must name one.  The session is left as it is.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
+        return folder.rstrip("/")
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="rackline-"))
-    return context.getCheckpointDir()
+    if context.applicationId not in _own_folders:
+        folder = tempfile.mkdtemp(prefix="rackline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folders[context.applicationId] = folder
+    return _own_folders[context.applicationId]
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[str]:
+    """Own the tables that :func:`materialise` writes inside, and delete them at the end.
+
+    What was built inside must have been used by then: written, collected or counted.
+    """
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        fs, where = _file_system(spark, folder)
+        fs.delete(where, True)
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and read it back, which cuts its lineage.
 
-    Without a path the table goes to the shared folder, below a name made of the
-    application id, so that a cluster can expire it with the application.
+    Without a path the table goes to the folder of the surrounding
+    :func:`intermediate_tables`, or else below a name made of the application id,
+    which goes when the application ends.
     """
     spark = df.sparkSession
     if path is None:
-        application = spark.sparkContext.applicationId
-        path = f"{shared_folder(spark)}/{application}/{uuid.uuid4().hex}"
+        folder = _scope.get()
+        if folder is None:
+            folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+            fs, where = _file_system(spark, folder)
+            fs.mkdirs(where)
+            fs.deleteOnExit(where)
+        path = f"{folder}/{uuid.uuid4().hex}"
+    for observer in written:
+        observer(df)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
