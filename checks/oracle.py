@@ -139,7 +139,7 @@ SELECT prom_id, slurm_id, concurrent AS concurrent_job_count,
 add("state_counts_pivot", "joined", f"""
 SELECT node, {micros("timestamp")}, """ + ", ".join(
     f"count(CASE WHEN state = '{s}' THEN 1 END) AS \"{s}\"" for s in STATES) + """,
-  count(*) AS total_jobs_running
+  count(state) AS total_jobs_running
 FROM js GROUP BY node, "timestamp" """)
 add("date_coverage", "samples jobs", """
 spans AS (
@@ -173,7 +173,7 @@ FROM a""")
 add("explode_days", "jobs", """
 SELECT id, strftime(unnest(range(start_date::DATE::TIMESTAMP,
     end_date::DATE::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)), '%Y-%m-%d') AS running_day
-FROM jobs""")
+FROM jobs WHERE start_date <= end_date""")
 add("top_node_lists", "job_nodes", """
 longest AS (SELECT id, node FROM jobs ORDER BY length(node) DESC, id LIMIT 5);;
 SELECT id, node, (SELECT string_agg(n.node, ',' ORDER BY n.node) FROM job_nodes n
@@ -724,6 +724,24 @@ def matrix(source: str) -> str:
 KNOWN = "known AS (SELECT * FROM raw WHERE " + " AND ".join(
     f"{c} IS NOT NULL" for c in DOUBLES) + ")"
 add("corr_pearson", "raw", KNOWN + ";;" + matrix("known"))
+WIDE = [
+    "node_ambient_temp", "node_power_usage", "node_load1", "node_rapl_package_power_sum",
+    "node_memory_Active_bytes",
+    *[f"node_{m}_{s}" for m in ("thermal_zone_temp", "hwmon_temp_celsius") for s in ("min", "mean", "max")],
+    "nvidia_gpu_power_usage_milliwatts_sum", "nvidia_gpu_memory_used_bytes_sum",
+    *[f"nvidia_gpu_temperature_celsius_{s}" for s in ("min", "mean", "max")],
+    *[f"nvidia_gpu_power_usage_milliwatts_{i}" for i in range(4)],
+    *[f"nvidia_gpu_temperature_celsius_{i}" for i in range(4)],
+    "constant",
+]
+add("corr_wide", "samples", """
+filled AS (SELECT *, 1.0::DOUBLE AS constant FROM samples),
+sums AS (SELECT """ + ", ".join(
+    f'covar_pop("{x}", "{y}") / nullif(stddev_pop("{x}") * stddev_pop("{y}"), 0) AS "{i}|{j}"'
+    for i, x in enumerate(WIDE) for j, y in enumerate(WIDE) if i <= j) + """ FROM filled);;
+""" + " UNION ALL ".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, round(\"{min(i, j)}|{max(i, j)}\", 6) AS corr FROM sums"
+    for i, x in enumerate(WIDE) for j, y in enumerate(WIDE)))
 add("corr_spearman", "raw", KNOWN + ", ranked AS (SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
     for c in DOUBLES) + " FROM known);;" + matrix("ranked"))

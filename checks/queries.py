@@ -775,6 +775,13 @@ def corr_pearson(spark, base):
     return correlation.pearson_matrix(select_by_dtype(raw(spark, base), T.DoubleType))
 
 
+@query("corr_wide")
+def corr_wide(spark, base):
+    """All doubles of the samples, and a constant."""
+    wide = views.samples(spark, base).withColumn("constant", F.lit(1.0))
+    return correlation.pearson_matrix(wide)
+
+
 @query("corr_spearman")
 def corr_spearman(spark, base):
     return correlation.spearman_matrix(raw(spark, base), CORRELATED, ["prom_id"])

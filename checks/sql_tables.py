@@ -58,21 +58,26 @@ raw AS (
 JOBS = """
 numbered_orders AS (
   SELECT *, (o_orderkey * 7919) % 60 AS hi,
-    TIMESTAMP '2024-01-01 00:00:00' + to_minutes((o_orderkey * 7919) % 40320) AS submit_date,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes((o_orderkey * 7919) % 40320)
+      + to_days((CASE WHEN o_orderkey % 41 = 5 THEN -20 WHEN o_orderkey % 43 = 7
+                 THEN 30 * (o_orderkey % 12) ELSE 0 END)::INT) AS submit_date,
+    CASE WHEN o_orderkey % 29 = 3 THEN to_milliseconds(750)
+         ELSE to_minutes(o_custkey % 180) END AS wait,
+    CASE WHEN o_orderkey % 37 = 3 THEN to_seconds(10) WHEN o_orderkey % 47 = 9 THEN to_minutes(-30)
+         ELSE to_minutes(1 + (o_custkey * 31 + o_orderkey) % 600) END AS run,
     CASE WHEN o_orderkey % 10 = 0 THEN 3 WHEN o_orderkey % 10 = 1 THEN 4 ELSE 1 END AS numnodes,
     CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 16 ELSE 8 END AS cores
   FROM orders),
 jobs AS (
   SELECT o_orderkey AS id,
-    CASE WHEN o_orderkey % 97 = 0 THEN 'None assigned'
+    CASE WHEN o_orderkey % 97 = 0 THEN 'None assigned' WHEN o_orderkey % 97 = 1 THEN 'software 1'
          WHEN o_orderkey % 10 = 0 THEN 'r' || (10 + hi // 6)::VARCHAR || 'n[1-2,4]'
          WHEN o_orderkey % 10 = 1 THEN 'r' || (10 + hi // 6)::VARCHAR || 'n[1,3-4],r16n2'
          ELSE 'r' || (10 + hi // 6)::VARCHAR || 'n' || (1 + hi % 6)::VARCHAR END AS node,
     submit_date,
-    submit_date + to_minutes(o_custkey % 180) AS start_date,
-    submit_date + to_minutes(o_custkey % 180)
-      + to_minutes(1 + (o_custkey * 31 + o_orderkey) % 600) AS end_date,
-    CASE WHEN o_orderkey % 12 IN (0, 1) THEN 'FAILED'
+    submit_date + wait AS start_date,
+    submit_date + wait + run AS end_date,
+    CASE WHEN o_orderkey % 31 = 2 THEN NULL WHEN o_orderkey % 12 IN (0, 1) THEN 'FAILED'
          WHEN o_orderkey % 12 = 2 THEN 'CANCELLED by ' || o_orderkey::VARCHAR
          WHEN o_orderkey % 12 = 3 THEN 'TIMEOUT'
          WHEN o_orderkey % 12 = 4 THEN 'OUT_OF_MEMORY'
@@ -102,8 +107,9 @@ marked AS (
   SELECT j.*, CASE WHEN starts_with(state, 'CANCELLED') THEN 'CANCELLED' ELSE state END AS status,
     (SELECT max(CASE WHEN substr(n.node, 1, 3) IN ('r16', 'r17', 'r18', 'r19') THEN 1 ELSE 0 END)
      FROM job_nodes n WHERE n.id = j.id) AS is_ml,
-    date_diff('second', submit_date, start_date) / 3600.0 AS wait_hours,
-    date_diff('second', start_date, end_date) / 3600.0 AS run_hours
+    date_diff('microsecond', submit_date, start_date) / 1e6 / 3600.0 AS wait_hours,
+    date_diff('microsecond', start_date, end_date) / 1e6 / 3600.0
+      + CASE WHEN end_date < start_date THEN 1 ELSE 0 END AS run_hours
   FROM jobs j)"""
 
 JOINED = """

@@ -6,15 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows where both are present; null if either side
-    is constant (the built-in divides by zero there)."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    spread = F.stddev_pop(a) * F.stddev_pop(b)
-    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
-
-
 def null_if_nan(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 

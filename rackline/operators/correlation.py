@@ -3,35 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackline.functions.stats import null_if_nan, safe_corr
+from rackline.functions.stats import null_if_nan
 from rackline.operators.distribution import average_ranks, doubles_long
 from rackline.sources.tables import columns_of_type
 
 
+# Columns up to which one aggregate holds all pairs.
+PAIRWISE = 12
+
+
 def _matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All pairs in one aggregate, then one row per ordered pair."""
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    """All ordered pairs over rows without nulls.
+
+    One aggregate has a deviation for each column and a covariance for each pair; the
+    pairs of a wide table are left to Spark's own matrix, which runs while this is called
+    and gives the driver one number per pair of columns.
+    """
+    if len(cols) > PAIRWISE:
+        return _wide_matrix(df, cols)
+    pairs = list(combinations(range(len(cols)), 2))
     row = df.agg(
-        *[safe_corr(F.col(cols[i]), F.col(cols[j])).alias(f"c_{i}_{j}") for i, j in pairs]
+        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)],
+        *[F.covar_pop(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs],
     )
+
+    def coefficient(i: int, j: int) -> Column:
+        spread = F.col(f"s_{i}") * F.col(f"s_{j}")
+        joint = spread if i == j else F.col(f"c_{min(i, j)}_{max(i, j)}")
+        return joint / F.nullif(spread, F.lit(0.0))
+
     entries = [
-        F.struct(
-            F.lit(cols[i]).alias("x"),
-            F.lit(cols[j]).alias("y"),
-            F.col(f"c_{min(i, j)}_{max(i, j)}").alias("corr"),
-        )
-        for i in range(len(cols))
-        for j in range(len(cols))
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), coefficient(i, j).alias("corr"))
+        for i, x in enumerate(cols)
+        for j, y in enumerate(cols)
     ]
     return row.select(F.inline(F.array(*entries)))
 
 
+def _wide_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    ends = df.agg(*[F.expr(f"min(`{c}`) < max(`{c}`)").alias(f"v_{i}") for i, c in enumerate(cols)]).first()
+    varied = [bool(v) for v in ends]
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df).select("v")
+    values = Correlation.corr(vectors, "v").head()[0].toArray() if any(varied) else None
+    rows = [
+        (x, y, float(values[i, j]) if varied[i] and varied[j] else None)
+        for i, x in enumerate(cols)
+        for j, y in enumerate(cols)
+    ]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
+
+
 def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of all (double) columns over the complete rows.
 

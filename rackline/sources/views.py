@@ -77,10 +77,20 @@ def jobs(spark: SparkSession, base: str) -> DataFrame:
     numbered = spark.read.parquet(f"{base}/orders.parquet").selectExpr(
         "o_orderkey AS id",
         "(o_orderkey * 7919) % 60 AS hi",
+        # Some jobs are submitted before New Year, some months later.
         """TIMESTAMP_NTZ '2024-01-01 00:00:00'
-           + make_dt_interval(0, 0, int((o_orderkey * 7919) % 40320)) AS submit_date""",
-        "make_dt_interval(0, 0, int(o_custkey % 180)) AS wait",
-        "make_dt_interval(0, 0, int(1 + (o_custkey * 31 + o_orderkey) % 600)) AS run",
+           + make_dt_interval(0, 0, int((o_orderkey * 7919) % 40320))
+           + make_dt_interval(CASE WHEN o_orderkey % 41 = 5 THEN -20
+                                   WHEN o_orderkey % 43 = 7 THEN int(30 * (o_orderkey % 12))
+                                   ELSE 0 END) AS submit_date""",
+        # Some wait for a fraction of a second.
+        """CASE WHEN o_orderkey % 29 = 3 THEN make_dt_interval(0, 0, 0, 0.75)
+                ELSE make_dt_interval(0, 0, int(o_custkey % 180)) END AS wait""",
+        # Some run for ten seconds; some seem to end before they start.
+        """CASE WHEN o_orderkey % 37 = 3 THEN make_dt_interval(0, 0, 0, 10)
+                WHEN o_orderkey % 47 = 9 THEN make_dt_interval(0, 0, -30)
+                ELSE make_dt_interval(0, 0, int(1 + (o_custkey * 31 + o_orderkey) % 600))
+           END AS run""",
         """CASE WHEN o_orderkey % 10 = 0 THEN 3 WHEN o_orderkey % 10 = 1 THEN 4 ELSE 1 END
            AS numnodes""",
         "CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 16 ELSE 8 END AS cores",
@@ -88,13 +98,15 @@ def jobs(spark: SparkSession, base: str) -> DataFrame:
     return numbered.selectExpr(
         "id",
         f"""CASE WHEN id % 97 = 0 THEN 'None assigned'
+                 WHEN id % 97 = 1 THEN 'software 1'
                  WHEN id % 10 = 0 THEN concat('r', 10 + hi DIV 6, 'n[1-2,4]')
                  WHEN id % 10 = 1 THEN concat('r', 10 + hi DIV 6, 'n[1,3-4],r16n2')
                  ELSE {NODE_NAME.format("hi")} END AS node""",
         "submit_date",
         "submit_date + wait AS start_date",
         "submit_date + wait + run AS end_date",
-        """CASE WHEN id % 12 <= 1 THEN 'FAILED'
+        """CASE WHEN id % 31 = 2 THEN NULL
+                WHEN id % 12 <= 1 THEN 'FAILED'
                 WHEN id % 12 = 2 THEN concat('CANCELLED by ', id)
                 WHEN id % 12 = 3 THEN 'TIMEOUT'
                 WHEN id % 12 = 4 THEN 'OUT_OF_MEMORY'

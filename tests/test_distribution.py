@@ -172,3 +172,18 @@ def test_correlation(df, table, method):
 def test_correlation_without_doubles(spark):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     assert correlation.pearson_matrix(df).count() == 0
+
+
+@pytest.mark.parametrize("pairwise", [12, 1])
+def test_correlation_of_narrow_and_wide_tables(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(correlation, "PAIRWISE", pairwise)
+    df = spark.createDataFrame(
+        [(1.0, 2.0, 5.0), (2.0, 4.5, 5.0), (3.0, 5.0, 5.0), (4.0, None, 5.0), (float("nan"), 9.0, 5.0)],
+        "x double, y double, c double",
+    )
+    found = {(r.x, r.y): r.corr for r in correlation.pearson_matrix(df).collect()}
+    assert found["x", "y"] == found["y", "x"] == pytest.approx(0.9332565252573828)
+    assert found["x", "x"] == pytest.approx(1.0)
+    assert found["x", "c"] is None and found["c", "c"] is None and len(found) == 9
+    nothing = correlation.pearson_matrix(df.limit(0)).collect()
+    assert len(nothing) == 9 and all(r.corr is None for r in nothing)
