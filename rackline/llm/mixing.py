@@ -199,7 +199,8 @@ def mix_sized(
     picked = picked.select(F.col("key").alias("__key"), F.lit(1).alias("__copy")).distinct()
 
     rows = docs.select(*kept, "size").join(wanted, same_source)
-    rows = rows.join(picked, F.xxhash64("source", "doc_id", "size") == F.col("__key"), "left")
+    # The same join at every size: rows are dealt by document, however few are picked.
+    rows = rows.join(picked.hint("merge"), F.xxhash64("source", "doc_id", "size") == F.col("__key"), "left")
     # A chance within rounding of 1 is certain, and was not drawn.
     whole = F.floor(F.col("__times") + _NEAR)
     copies = F.when(F.col("size") > 0, whole + F.coalesce("__copy", F.lit(0))).otherwise(0).cast("long")
