@@ -238,13 +238,15 @@ def hot_spans(contexts: DataFrame) -> DataFrame:
 def covered_spans(docs: DataFrame, work: Workspace, hot: int = HOT) -> DataFrame:
     """(uid, spans) of all bytes of ``docs`` (uid, text) that repeated strings cover; spans may overlap."""
     rows = work.save(anchor_rows(docs), "anchors")
-    twice = rows.groupBy("h").count().where("count > 1").select("h")
-    rows = work.save(rows.join(twice, "h"), "twice")
-    work.drop("anchors")
+    # Counts are written before they are joined back: the planner can split a hot anchor's join then.
+    grams = work.save(rows.groupBy("h").count().where("count > 1").select("h"), "grams")
+    rows = work.save(rows.join(grams, "h"), "twice")
+    work.drop("anchors", "grams")
     rep = F.min(F.struct("uid", "at")).alias("rep")
     contexts = rows.groupBy("h", "c", "before", "after").agg(F.count("*").alias("n"), rep)
     contexts = work.save(contexts, "contexts")
     sizes = contexts.groupBy("h").agg(F.count("*").alias("different")).where("different > 1")
+    sizes = work.save(sizes, "sizes")
     compared = contexts.join(sizes, "h").select(
         F.col("rep.uid").alias("uid"),
         F.struct("h", "c", (F.col("n") == 1).alias("once"), "before", "after", F.col("rep.at").alias("at")).alias("context"),

@@ -113,7 +113,8 @@ def assign_revisits(pages: DataFrame, work: Workspace) -> DataFrame:
     digest = F.when(shareable, F.sha2(F.encode("html", "UTF-8"), 256)).alias("digest")
     keyed = work.save(pages.select("page_id", digest).where("digest IS NOT NULL"), "digests")
     shared = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    refers = keyed.join(shared.where("n > 1"), "digest").where("page_id <> first")
+    shared = work.save(shared.where("n > 1"), "shared")
+    refers = keyed.join(shared, "digest").where("page_id <> first")
     refers = work.save(refers.select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "refers")
     rows = pages.select("page_id", "url", "html", digest).join(refers, ["page_id", "digest"], "left")
     return rows.select("page_id", "url", "html", "refers_to")
