@@ -574,7 +574,8 @@ SELECT prom_id, slurm_id, node, gpu_node, round(node_power_usage, 6) AS node_pow
   concurrent AS concurrent_job_count, round(usual, 6) AS node_power_usage_mean,
   round(spread, 6) AS node_power_usage_std FROM high""")
 add("peer_pairs", "joined", HIGH_LOAD + """;;
-SELECT gpu_node, state, state_2, count(*) AS pairs FROM pairs GROUP BY ALL""")
+SELECT gpu_node, state, state_2, count(*) AS pairs FROM pairs
+WHERE state IS NOT NULL AND state_2 IS NOT NULL GROUP BY ALL""")
 add("peer_state_counts", "joined", PEERS + """;;
 SELECT * REPLACE (epoch_us("timestamp") AS "timestamp") FROM peers""")
 add("peer_state_corr", "joined", CORR + """;;
