@@ -71,7 +71,8 @@ def op5_token_counts(spark: SparkSession, base: str, tokenizer: str | None = Non
     batches = ["load", "withdraw", "revise"]
     named = docs.select("doc_id", F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
     first = named.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = named.join(first, ["a", "b"]).where("doc_id <> first")
+    first = work.save(first, "first")
+    copies = work.save(named.join(first, ["a", "b"]).where("doc_id <> first").select("doc_id"), "copies")
     text = F.regexp_replace("text", r"([!?#*$%&])\1{2,}", "$1")
     changed = docs.withColumn("new", text).where("new <> text").join(copies, "doc_id", "left_anti")
     changed = changed.select("doc_id", "source", "lang", F.col("new").alias("text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackline.llm.anchors import GRAM, LENGTH, REACH, Hashes, anchors, mix
+from rackline.llm.anchors import LENGTH, REACH, Hashes, anchors, mix
 from rackline.llm.storage import Workspace
 from rackline.llm.suffixes import grouped_suffix_array
 
