@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackline.llm.fmindex import FMIndex
-from rackline.llm.storage import Workspace
+from rackline.llm.storage import Shared, Workspace
 
 WINDOW = 10
 #: Words of a shard's index, and bytes of benchmark text sent to the tasks at a time.
@@ -111,7 +111,7 @@ _FOUND = ("n_words", "spans", "items")
 def _scan(docs: DataFrame, windows: Windows, drop_text: bool, clean: bool) -> DataFrame:
     """One pass over ``docs`` for one part of the benchmark; extends earlier spans and items."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(windows)
+    shared = Shared(spark, windows)
     again = "spans" in docs.columns
     fields = [f for f in docs.schema.fields if f.name not in _FOUND and not (drop_text and f.name == "text")]
     names = [f.name for f in fields]
@@ -120,8 +120,7 @@ def _scan(docs: DataFrame, windows: Windows, drop_text: bool, clean: bool) -> Da
         + ["n_words long", "spans array<struct<start:long,end:long>>", "items array<long>"]
     )
 
-    def finish(batch: pa.RecordBatch, counts: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
-        known = shared.value
+    def finish(known: Windows, batch: pa.RecordBatch, counts: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
         spans: dict[int, list] = {}
         items: dict[int, set] = {}
         if again:
@@ -153,7 +152,8 @@ def _scan(docs: DataFrame, windows: Windows, drop_text: bool, clean: bool) -> Da
         return pa.RecordBatch.from_arrays(columns, names=[*names, *_FOUND])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.numbers.get
+        known = shared.get()
+        get = known.numbers.get
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
                 batch = whole.slice(i, 2000)
@@ -162,7 +162,7 @@ def _scan(docs: DataFrame, windows: Windows, drop_text: bool, clean: bool) -> Da
                     words = plain(text.as_py()).split()
                     counts.append(len(words))
                     ids.append(np.fromiter(map(get, words, repeat(1)), np.int64, len(words)))
-                yield finish(batch, counts, ids)
+                yield finish(known, batch, counts, ids)
 
     return docs.mapInArrow(run, schema)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -52,6 +54,16 @@ class Workspace:
             remove(self.spark, self.path(name))
 
 
+class Shared:
+    """A value sent to all executors once, along with the code of its class."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        return pickle.loads(self._data.value)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rackline.llm.decontaminate import plain
 from rackline.llm.network import BUCKETS, Adam, Network, gram_ids, sigmoid
+from rackline.llm.storage import Shared
 
 
 @dataclass(frozen=True)
@@ -189,14 +190,14 @@ def score(
     looked at.  Rows are neither added nor dropped; extra columns stay, those with the
     names of results are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((network, settings))
+    shared = Shared(docs.sparkSession, (network, settings))
     docs = docs.drop("score", "predicted")
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     names = [f.name for f in fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, how = shared.value
+        known, how = shared.get()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
