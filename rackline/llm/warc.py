@@ -93,7 +93,8 @@ def write_package(folder: str, rows: Iterator[tuple], zip64: bool = True) -> tup
                 page_id, url, html, refers_to = row
                 payload = b"" if html is None else html.encode("utf-8")
                 kind = "response" if refers_to is None else "revisit"
-                packed = gzip_member(record(kind, url, str(page_id), payload, refers_to and str(refers_to)))
+                first_key = None if refers_to is None else str(refers_to)
+                packed = gzip_member(record(kind, url, str(page_id), payload, first_key))
                 member.write(packed)
                 entries.append(json.dumps([str(page_id), offset, len(packed)]))
                 offset, count = offset + len(packed), count + 1

@@ -46,6 +46,14 @@ def test_round_trip(spark):
         assert r.payload is None or hashlib.sha256(r.payload).hexdigest() == r.payload_digest
 
 
+def test_page_0_is_the_response_of_revisits(spark):
+    same = "<p>" + "x" * 200
+    rows = [(0, "http://x/0", same, 1), (1, "http://x/1", same, 1), (-2, "http://x/-2", "other" * 40, 1), (0, "http://x/0", same, 1)]
+    back = warc.archive_pages(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back]
+    assert sorted(got) == sorted(expected(rows)) and (1, "revisit", 0) in {(x[0], x[3], x[4]) for x in got}
+
+
 def test_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
 
