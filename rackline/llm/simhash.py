@@ -235,7 +235,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     and of rows that repeat both one.  A row without an id stays if its group has no other.
     """
     work = Workspace(docs.sparkSession, "keep")
-    groups = work.save(near_duplicates(docs, **options), "groups")
+    return keep_first(docs, work.save(near_duplicates(docs, **options), "groups"))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row for each root of ``groups`` (doc_id, th, root), chosen as in ``keep_one``."""
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")
     first = groups.groupBy("root").agg(F.min(place).alias("first"))
     first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")).distinct()
