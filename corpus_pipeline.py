@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackline.llm import decontaminate, linededup, mixing, resemblance, toxicity
+from rackline.llm import decontaminate, linededup, mixing, simhash, toxicity
 from rackline.llm.storage import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,8 +39,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (0.8 of their five-word shingles) the document with the smallest doc_id, once."""
-    return resemblance.keep_one(docs).select(*COLUMNS)
+    """Of every group of near-duplicates, fingerprints linked at SimHash's own distance, the document with the smallest doc_id, once."""
+    return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: every document kept, once, with ``copies``, its weight in the mix.
+
+    A document of 0 copies is left out of the mix; one of 2 counts twice.
+    """
     work = Workspace(spark, "pipeline")
     docs, before = _read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
