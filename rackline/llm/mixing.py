@@ -6,21 +6,23 @@ probabilities are rounded to 0 or 1 against each other: of two documents one bec
 certain, and the words that this adds or takes away go to, or come from, the other.
 So a source's words stay what they were, but for the last document left over.
 
-A task rounds a bucket of some dozens of documents and leaves one undecided.  The
-undecided of some dozens of buckets meet in a bucket of the next level, and so on: a
-reduction tree per source, whose depth grows with the logarithm of the largest source.
+A task rounds a bucket of some dozens of documents of about one size, the largest first,
+and leaves one undecided.  The undecided of some dozens of buckets meet in a bucket of the
+next level, and so on: a reduction tree per source, whose depth grows with the logarithm
+of the largest source.  Large documents so decide early and against each other, and what
+is left over at the end is small.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackline.llm.storage import Workspace
 from rackline.llm.text import word_count
 
+_ITEM = "struct<size:double,key:bigint,chance:double,luck:double>"
+
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -67,13 +69,13 @@ def _uniform(seed: int, *key) -> Column:
 
 
 def _fold(items: Column) -> Column:
-    """Round the chances of an array of (key, size, chance, luck) against each other.
+    """Round the chances of an array of (size, key, chance, luck) against each other.
 
     Gives (done: array of (key, copy), rest: the undecided one, or null).
     """
     empty = F.struct(
         F.array().cast("array<struct<key:bigint,copy:boolean>>").alias("done"),
-        F.lit(None).cast("struct<key:bigint,size:double,chance:double,luck:double>").alias("rest"),
+        F.lit(None).cast(_ITEM).alias("rest"),
     )
 
     def decided(item: Column, copy) -> Column:
@@ -81,7 +83,7 @@ def _fold(items: Column) -> Column:
 
     def with_chance(item: Column, chance: Column) -> Column:
         return F.struct(
-            item.key.alias("key"), item.size.alias("size"), chance.alias("chance"), item.luck.alias("luck")
+            item.size.alias("size"), item.key.alias("key"), chance.alias("chance"), item.luck.alias("luck")
         )
 
     def step(state: Column, item: Column) -> Column:
@@ -97,7 +99,7 @@ def _fold(items: Column) -> Column:
         moved = F.struct(new_a.alias("a"), new_b.alias("b"), a_done.alias("a_done"), b_done.alias("b_done"))
 
         def settle(m: Column) -> Column:
-            none = F.lit(None).cast("struct<key:bigint,size:double,chance:double,luck:double>")
+            none = F.lit(None).cast(_ITEM)
             out = F.when(m.a_done & m.b_done, F.array(decided(a, m.a > 0.5), decided(item, m.b > 0.5))).when(
                 m.a_done, F.array(decided(a, m.a > 0.5))
             ).otherwise(F.array(decided(item, m.b > 0.5)))
@@ -116,25 +118,35 @@ def pivotal_round(items: DataFrame, seed: int, work: Workspace, bucket: int = BU
     """(key, copy) for items (source, key, size, chance) with 0 < chance < 1 and size > 0.
 
     ``key`` is a distinct long.  The level of a bucket, its members and every draw
-    depend on keys and seed alone, so reruns agree.
+    depend on keys, sizes and seed alone, so reruns agree.
+
+    As long as a source has more undecided items than a bucket holds, those of one power
+    of two in size are dealt to buckets of about ``bucket``; then the rest of each source
+    meets in one, the largest first.
     """
-    largest = items.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    done, level = None, 0
-    buckets = 1 if largest <= bucket else math.ceil(largest / bucket)
-    rest = items.select("source", "key", "size", "chance")
-    while largest:
-        dealt = rest.select(
-            "source",
-            # Buckets of a level are dealt by the key, and so are about equally large.
-            F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(buckets)).alias("bucket"),
-            F.struct(
-                "key",
-                F.col("size").cast("double").alias("size"),
-                F.col("chance").cast("double").alias("chance"),
-                _uniform(seed + 2 + level, "key").alias("luck"),
-            ).alias("item"),
+    rest, done, level = items.select("source", "key", "size", "chance"), None, 0
+    while True:
+        sized = rest.withColumn("band", F.floor(F.log2("size")))
+        counts = work.save(sized.groupBy("source", "band").agg(F.count("*").alias("n")), f"counts{level}")
+        largest = counts.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        if not largest:
+            return items.select("key", F.lit(True).alias("copy")).limit(0) if done is None else done
+        last = largest <= max(bucket, counts.select("band").distinct().count())
+        if last:
+            dealt = sized.select("*", F.lit(0).alias("bucket")).withColumn("band", F.lit(0))
+        else:
+            counts = counts.select(F.col("source").alias("__source"), F.col("band").alias("__band"), "n")
+            same = F.col("source").eqNullSafe(F.col("__source")) & (F.col("band") == F.col("__band"))
+            number = F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.ceil(F.col("n") / F.lit(bucket)))
+            dealt = sized.join(counts, same).withColumn("bucket", number)
+        item = F.struct(
+            F.col("size").cast("double").alias("size"),
+            "key",
+            F.col("chance").cast("double").alias("chance"),
+            _uniform(seed + 2 + level, "key").alias("luck"),
         )
-        folded = dealt.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        folded = dealt.select("source", "band", "bucket", item.alias("item")).groupBy("source", "band", "bucket")
+        folded = folded.agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
         folded = folded.select("source", _fold(F.col("items")).alias("folded"))
         folded = work.save(
             folded.select("source", F.col("folded.done").alias("done"), F.col("folded.rest").alias("rest")),
@@ -143,11 +155,10 @@ def pivotal_round(items: DataFrame, seed: int, work: Workspace, bucket: int = BU
         decided = folded.select(F.explode("done").alias("d")).select("d.key", "d.copy")
         done = decided if done is None else done.unionByName(decided)
         rest = folded.where("rest IS NOT NULL").select("source", "rest.key", "rest.size", "rest.chance")
-        if buckets == 1:
-            last = rest.select("key", (_uniform(seed + 2 + level, "key", F.lit("last")) < F.col("chance")).alias("copy"))
-            return done.unionByName(last)
-        buckets, level = math.ceil(buckets / bucket), level + 1
-    return items.select("key", F.lit(True).alias("copy")).limit(0)
+        if last:
+            drawn = (_uniform(seed + 2 + level, "key", F.lit("last")) < F.col("chance")).alias("copy")
+            return done.unionByName(rest.select("key", drawn))
+        level += 1
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
