@@ -102,10 +102,54 @@ kept AS (SELECT l.doc_id, count(*) FILTER (w > 0)::BIGINT AS n_lines, count(gone
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)"""
 
+_VECTORS = """
+WITH v AS (SELECT vec_id, {more}list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL {where}AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)"""
+
+_TOP = (
+    _VECTORS.format(more="", scale=1024, where="")
+    + """,
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER o)::INTEGER AS rank, vec_id, score FROM s
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 10"""
+)
+
+_NEGATIVES = (
+    _VECTORS.format(
+        more="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, ",
+        scale=256,
+        where="AND label IS NOT NULL ",
+    )
+    + """,
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER o)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 5"""
+)
+
+_LEXICAL = rf"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY 1),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, docs),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN t USING (term) JOIN n USING (doc_id), c GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 50"""
+
 ORACLE = {
     "op1_quality_rules": _quality(),
     "op2_warc": _WARC,
     "op4_decontamination": _DECONTAMINATION,
     "op9_chat_format": _chat(),
     "op10_line_dedup": _LINES,
+    "op11_topk_search": _TOP,
+    "op12_lexical_search": _LEXICAL,
+    "op13_hard_negatives": _NEGATIVES,
 }

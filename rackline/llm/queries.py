@@ -8,7 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rackline.llm import chat, decontaminate, linededup, mixing, quality, simhash, substrings, tokencounts, toxicity, warc
+from rackline.llm import (
+    bond,
+    chat,
+    decontaminate,
+    lexical,
+    linededup,
+    mixing,
+    quality,
+    simhash,
+    substrings,
+    tokencounts,
+    topk,
+    toxicity,
+    warc,
+)
 from rackline.llm.storage import Workspace
 from rackline.llm.text import hex64, word_count
 
@@ -141,6 +155,22 @@ def op10_line_dedup(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def op11_topk_search(spark: SparkSession, base: str) -> DataFrame:
+    vectors = _table(spark, base, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op12_lexical_search(spark: SparkSession, base: str) -> DataFrame:
+    docs = _table(spark, base, "documents").select("doc_id", "text")
+    return lexical.search(docs, _table(spark, base, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, base: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, base, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return bond.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     return corpus_pipeline.run(spark, base)
 
@@ -158,6 +188,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_chat_format,
         op10_line_dedup,
+        op11_topk_search,
+        op12_lexical_search,
+        op13_hard_negatives,
         pipeline,
     )
 }

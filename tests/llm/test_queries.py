@@ -33,4 +33,4 @@ def test_registered_in_order_and_in_the_entry_module():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")}
