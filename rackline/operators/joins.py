@@ -12,6 +12,16 @@ from rackline.functions.times import epoch_seconds
 BUCKET_SECONDS = 6 * 3600
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions by key, for small rows on which much work follows.
+
+    A stated number of partitions is kept as it is; without one, they would be merged by
+    their small present size.
+    """
+    setting = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(int(setting), *keys) if setting.isdigit() else df.repartition(*keys)
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,

@@ -10,15 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackline.functions import nodes, times
 from rackline.functions.stats import count_where
+from rackline.operators import sweep
 from rackline.operators.distribution import melt
-from rackline.operators.joins import interval_join
 from rackline.plans.integration import (
-    concurrency,
     job_side,
     restrict_to_window,
     spread_jobs,
@@ -58,21 +57,86 @@ def job_nodes(job_samples: DataFrame) -> DataFrame:
     return _over_jobs(_with_share(with_concurrency(job_samples)))
 
 
+#: Values that the class flag of a sample can have.
+CLASSES = (0, 1, None)
+
+
+def instants(samples: DataFrame) -> DataFrame:
+    """One row per (node, timestamp): its samples, and of each class their number, that of
+    readings, and the sum of the readings."""
+
+    def of_class(flag, value: Column, function) -> Column:
+        return function(F.when(F.col("gpu_node").eqNullSafe(F.lit(flag)), value))
+
+    power = F.col("node_power_usage")
+    return samples.groupBy("node", "timestamp").agg(
+        F.count(F.lit(1)).alias("samples"),
+        *[
+            of_class(flag, value, function).alias(f"{name}_{flag}")
+            for flag in CLASSES
+            for name, value, function in (
+                ("samples", F.lit(1), F.count),
+                ("readings", power, F.count),
+                ("power", power, F.sum),
+            )
+        ],
+    )
+
+
 def observed_job_nodes(
     samples: DataFrame, jobs: DataFrame, window: tuple[datetime, datetime] | None = None
 ) -> DataFrame:
     """As :func:`job_nodes`, straight from samples and jobs.
 
-    The joined table has as many rows per sample as jobs ran at that moment.
-    Here these rows are made twice but never shuffled: the first time they are
-    counted per instant where they arise, and the counts are joined to the
-    samples; the second time the shares are summed per job where they arise.
+    The joined table has as many rows per sample as jobs ran at that moment.  Here
+    samples and jobs never meet: a sweep over each node's time counts the jobs at every
+    instant, and a job's mean is the difference of running sums at its two ends.  A job
+    costs two rows on each of its nodes, however long it is.
     """
     inside_jobs, inside_samples = restrict_to_window(jobs, samples, window)
-    intervals = job_side(spread_jobs(inside_jobs))
-    counts = concurrency(interval_join(inside_samples, intervals))
-    counted = inside_samples.join(counts, ["node", "timestamp"])
-    return _over_jobs(interval_join(_with_share(counted), intervals))
+    on_nodes = job_side(spread_jobs(inside_jobs)).select(
+        "slurm_id",
+        "state",
+        "start_date",
+        "end_date",
+        times.run_seconds().alias("run_seconds"),
+        F.explode(F.array_distinct("slurm_nodes")).alias("node"),
+    )
+    values = {}
+    for flag in CLASSES:
+        share = F.col(f"power_{flag}") / (F.col("samples") * F.col("jobs"))
+        values |= {
+            f"samples_sum_{flag}": F.col(f"samples_{flag}"),
+            f"readings_sum_{flag}": F.col(f"readings_{flag}"),
+            f"share_sum_{flag}": F.when(F.col("jobs") > 0, share),
+        }
+    ends = sweep.sums_inside(
+        instants(inside_samples),
+        on_nodes,
+        by="node",
+        at="timestamp",
+        start="start_date",
+        end="end_date",
+        held="jobs",
+        values=values,
+    )
+    by = ["slurm_id", "node", "state"]
+    sums = ends.groupBy(*by).agg(F.max("run_seconds").alias("run_seconds"), *[F.sum(c).alias(c) for c in values])
+    classes = F.array(
+        *[
+            F.struct(
+                F.lit(flag).cast("int").alias("gpu_node"),
+                F.col(f"samples_sum_{flag}").alias("samples"),
+                F.try_divide(f"share_sum_{flag}", f"readings_sum_{flag}").alias("mean_power"),
+            )
+            for flag in CLASSES
+        ]
+    )
+    return (
+        sums.select(*by, "run_seconds", F.inline(classes))
+        .where("samples > 0")
+        .select("slurm_id", "node", "gpu_node", "state", "mean_power", "run_seconds")
+    )
 
 
 def per_job(summary: DataFrame) -> DataFrame:

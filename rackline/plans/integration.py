@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rackline.functions import nodes, times
 from rackline.functions.stats import count_where
-from rackline.operators.joins import BUCKET_SECONDS, interval_join
+from rackline.operators.joins import BUCKET_SECONDS, interval_join, spread
 
 
 def time_ranges(jobs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -69,14 +69,9 @@ def restrict_to_window(
 
 
 def spread_jobs(jobs: DataFrame) -> DataFrame:
-    """Jobs over all shuffle partitions, by id.
-
-    The job table is usually one small file, but its rows multiply when node lists
-    and time buckets are exploded and matched.  A stated number of partitions is
-    kept as it is; without one, they would be merged by their small present size.
-    """
-    setting = jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return jobs.repartition(int(setting), "id") if setting.isdigit() else jobs.repartition("id")
+    """Jobs over all shuffle partitions, by id: usually one small file, but its rows
+    multiply when node lists and time buckets are exploded and matched."""
+    return spread(jobs, "id")
 
 
 def job_side(jobs: DataFrame, taken: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rackline.operators import distribution, ordered
+from rackline.operators import distribution, ordered, sweep
 from rackline.operators.joins import interval_join
 from rackline.plans import energy, integration
 
@@ -116,7 +116,8 @@ def test_energy_with_a_third_of_all_rows_at_one_instant(spark):
         rows, plan = _final_plan(
             energy.per_job(energy.observed_job_nodes(copies, jobs, window))
         )
-    assert "SortMergeJoin(skew=true)" in plan
+    # What is left to join are sums at the jobs' ends; samples never meet jobs.
+    assert "prom_id" not in plan and "CartesianProduct" not in plan
     found = {r.slurm_id: r for r in rows}
     # Two jobs share 20,000 readings of one instant: each reading counts 1/40,000.
     assert found[1].energy == pytest.approx(10.0 / 40_000 * 7200)
@@ -148,3 +149,30 @@ def test_one_hot_series_and_value(spark):
     assert ecdf.pdf == pytest.approx(1 / 3)
     median = distribution.quantiles(df, ["x"], [0.5]).first().p50
     assert median == df.selectExpr("percentile(x, 0.5)").first()[0]
+
+
+def test_a_sweep_with_most_ends_on_one_node_and_a_third_at_one_instant(spark):
+    def when(second):
+        return F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
+
+    points = spark.range(0, 3000, 1, 4).select(
+        F.lit("hot").alias("node"), when(F.col("id") * 10).alias("ts"), F.lit(1.0).alias("v")
+    )
+    first = F.when(F.col("id") % 3 == 0, 5000).otherwise(F.col("id") % 30_000)
+    jobs = spark.range(0, 30_000, 1, 8).select(
+        F.col("id").alias("job"), F.lit("hot").alias("node"), when(first).alias("first"), when(first + 25_000).alias("last")
+    )
+    with large_table_settings(spark):
+        ends = sweep.sums_inside(
+            points, jobs, by="node", at="ts", start="first", end="last", held="held",
+            values={"points": F.col("v"), "most": F.col("held")}, bucket_seconds=3600,
+        )
+        sums = ends.groupBy("job").agg(F.sum("points").alias("n"), F.sum("most").alias("held"))
+        rows, plan = _final_plan(sums)
+    assert "SortMergeJoin(skew=true)" in plan
+    starts = [5000 if i % 3 == 0 else i for i in range(30_000)]
+    held = [sum(s <= t <= s + 25_000 for s in starts) for t in range(0, 30_000, 10)]
+    for r in rows[::97]:
+        inside = [t // 10 for t in range(0, 30_000, 10) if starts[r.job] <= t <= starts[r.job] + 25_000]
+        assert (r.n, r.held) == (len(inside), sum(held[t] for t in inside))
+    assert len(rows) == 30_000
