@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackline.functions.times import epoch_seconds
@@ -10,6 +10,52 @@ from rackline.functions.times import epoch_seconds
 # Six hours: a job of median length stays in one bucket, and one node's samples
 # at a 30 s rate are 720 rows per bucket.
 BUCKET_SECONDS = 6 * 3600
+#: Each level's buckets are so many times as wide as those of the level below.
+FACTOR = 16
+#: At six hours and 16, the widest buckets are longer than a century.
+LEVELS = 5
+
+
+def top_level(first: Column, last: Column) -> Column:
+    """The widest level that an interval of buckets first..last can use."""
+    length = last - first + 1
+    level = F.lit(0)
+    for i in range(1, LEVELS):
+        level = F.when(length >= FACTOR**i, i).otherwise(level)
+    return level
+
+
+def cover(first: Column, last: Column) -> Column:
+    """The interval of base buckets first..last as an array of (level, bucket) that tile it.
+
+    Aligned runs of buckets are one bucket of the next level, and so on: a long interval
+    takes up to 2 * (FACTOR - 1) buckets of each level, not one for each base bucket.
+    """
+
+    def up(x: Column, level: int) -> Column:
+        return F.ceil(x / F.lit(FACTOR**level))
+
+    def down(x: Column, level: int) -> Column:
+        return F.floor((x + 1) / F.lit(FACTOR**level)) - 1
+
+    def blocks(level: int, low: Column, high: Column) -> Column:
+        none = F.array().cast("array<struct<_level:int,_bucket:bigint>>")
+        made = F.transform(
+            F.sequence(low, high), lambda b: F.struct(F.lit(level).alias("_level"), b.cast("bigint").alias("_bucket"))
+        )
+        return F.when(low <= high, made).otherwise(none)
+
+    parts = []
+    for level in range(LEVELS):
+        low, high = up(first, level), down(last, level)
+        if level == LEVELS - 1:
+            parts.append(blocks(level, low, high))
+            continue
+        inner_low, inner_high = up(first, level + 1) * FACTOR, (down(last, level + 1) + 1) * FACTOR - 1
+        split = inner_low <= inner_high
+        parts.append(blocks(level, low, F.when(split, inner_low - 1).otherwise(high)))
+        parts.append(F.when(split, blocks(level, inner_high + 1, high)).otherwise(blocks(level, F.lit(1), F.lit(0))))
+    return F.concat(*parts)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -35,10 +81,12 @@ def interval_join(
 ) -> DataFrame:
     """Pairs with ``point.key`` in ``interval.keys`` and ``start <= ts <= end``.
 
-    Both predicates of the theta join become equi-join keys: intervals are
-    exploded to one row per (distinct key, time bucket) they touch, points get
-    their bucket, and the closed range check runs on the matches only.  A point
-    lies in one bucket, so every pair appears once.
+    Both predicates of the theta join become equi-join keys: intervals are exploded to
+    one row per distinct key and bucket of their :func:`cover`, points to one row per
+    level that intervals of their key use, and the closed range check runs on the
+    matches only.  A point lies in one bucket of an interval's cover, so every pair
+    appears once.  Keys with short intervals only use one level, so their points are not
+    multiplied; points of keys without intervals are left out before the shuffle.
 
     A busy key is spread over its time buckets.  If one (key, bucket) is still
     much larger than the rest, the adaptive planner splits that partition of the
@@ -48,17 +96,29 @@ def interval_join(
     width = F.lit(bucket_seconds)
     first = F.floor(epoch_seconds(F.col(start)) / width)
     last = F.floor(epoch_seconds(F.col(end)) / width)
-    exploded = (
-        intervals.where(F.col(start) <= F.col(end))
-        .withColumn("_key", F.explode(F.array_distinct(F.col(keys))))
-        .withColumn("_bucket", F.explode(F.sequence(first, last)))
+    some = intervals.where(F.col(start) <= F.col(end))
+    exploded = some.select("*", F.explode(F.array_distinct(F.col(keys))).alias("_key")).select(
+        "*", F.inline(cover(first, last))
+    )
+    levels = (
+        some.select(top_level(first, last).alias("_top"), F.explode(F.array_distinct(F.col(keys))).alias("_of"))
+        .where("_top > 0")
+        .groupBy("_of")
+        .agg(F.max("_top").alias("_top"))
     )
-    bucketed = points.withColumn(
-        "_point_bucket", F.floor(epoch_seconds(F.col(ts)) / width)
+    at = epoch_seconds(F.col(ts))
+    places = F.transform(
+        F.sequence(F.lit(0), F.coalesce("_top", F.lit(0))),
+        lambda i: F.struct(
+            i.alias("_point_level"),
+            F.floor(at / (width * F.pow(F.lit(FACTOR), i).cast("bigint"))).alias("_point_bucket"),
+        ),
     )
+    bucketed = points.join(levels, F.col(key) == F.col("_of"), "left").select(*points.columns, F.inline(places))
     return bucketed.join(
         exploded,
         (F.col(key) == F.col("_key"))
+        & (F.col("_point_level") == F.col("_level"))
         & (F.col("_point_bucket") == F.col("_bucket"))
         & F.col(ts).between(F.col(start), F.col(end)),
-    ).drop("_key", "_bucket", "_point_bucket")
+    ).drop("_key", "_level", "_bucket", "_point_level", "_point_bucket")

@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from rackline.operators.attach import attach, attach_group
-from rackline.operators.joins import interval_join
+from rackline.operators.joins import BUCKET_SECONDS, FACTOR, LEVELS, cover, interval_join, top_level
 from rackline.plans import energy, integration, peers
 
 START = datetime(2023, 12, 31, 12)
@@ -50,7 +51,7 @@ def _pairs(samples, jobs):
     ]
 
 
-@pytest.mark.parametrize("bucket", [600, 6 * 3600, 7 * 24 * 3600])
+@pytest.mark.parametrize("bucket", [7, 600, 6 * 3600, 7 * 24 * 3600])
 def test_interval_join_equals_theta_join(spark, bucket):
     rng = random.Random(3)
     samples, jobs = _samples(rng), _jobs(rng)
@@ -63,6 +64,38 @@ def test_interval_join_equals_theta_join(spark, bucket):
     assert not [c for c in joined.columns if c.startswith("_")]
 
 
+def test_cover_tiles_every_interval(spark):
+    rng = random.Random(8)
+    ends = [(0, 0), (0, 15), (1, 16), (15, 16), (16, 31), (-40, 300), (-17, -16), (0, 16**4), (5, 16**5 + 3)]
+    ends += [(a, a + rng.randrange(2000)) for a in (rng.randrange(-3000, 3000) for _ in range(200))]
+    df = spark.createDataFrame(ends, "first long, last long")
+    rows = df.select("first", "last", cover(F.col("first"), F.col("last")).alias("c"), top_level(F.col("first"), F.col("last")).alias("top"))
+    for r in rows.collect():
+        tiles = sorted((b.asDict()["_bucket"] * FACTOR ** b.asDict()["_level"], FACTOR ** b.asDict()["_level"]) for b in r.c)
+        at = r["first"]
+        for start, width in tiles:
+            assert start == at
+            at += width
+        assert at == r["last"] + 1
+        assert max(b.asDict()["_level"] for b in r.c) <= r.top
+        assert len(tiles) <= 2 * (FACTOR - 1) * LEVELS
+
+
+def test_year_long_jobs_take_few_buckets_and_short_ones_leave_samples_single(spark):
+    """A year is 1,460 buckets of six hours."""
+    year = timedelta(days=365, hours=5)
+    jobs = [(i, ["r10n1", "r10n2"], START + timedelta(hours=7 * i), START + timedelta(hours=7 * i) + year, "FAILED", 2, 4) for i in range(20)]
+    jobs += [(100 + i, ["r11n1"], START, START + timedelta(hours=3 + i % 9), "FAILED", 1, 4) for i in range(20)]
+    samples = [(i, ("r10n1", "r11n1", "r28n1")[i % 3], START + timedelta(hours=11 * i), 0, 1.0) for i in range(600)]
+    joined = interval_join(spark.createDataFrame(samples, SAMPLE), spark.createDataFrame(jobs, JOB))
+    found = sorted((r.prom_id, r.slurm_id) for r in joined.collect())
+    assert found == sorted((s[0], j[0]) for s, j in _pairs(samples, jobs))
+    seconds = F.unix_seconds(F.col("start_date").cast("timestamp")), F.unix_seconds(F.col("end_date").cast("timestamp"))
+    first, last = (F.floor(x / F.lit(BUCKET_SECONDS)) for x in seconds)
+    sizes = spark.createDataFrame(jobs, JOB).select("slurm_id", F.size(cover(first, last)).alias("n")).collect()
+    assert max(r.n for r in sizes if r.slurm_id < 100) <= 70 and max(r.n for r in sizes if r.slurm_id >= 100) <= 3
+
+
 def test_interval_join_without_broadcast(spark):
     rng = random.Random(4)
     samples, jobs = _samples(rng), _jobs(rng)
