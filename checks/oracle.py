@@ -584,12 +584,11 @@ ordering = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STATES))
 add("peer_state_corr_triangle", "joined", CORR + f""";;
 SELECT gpu_node, state, state_2, round(corr, 6) AS corr FROM matrix
 WHERE CASE state {ordering} END >= CASE state_2 {ordering} END""")
+# One read of the matrix: each side of the difference is the one row of its class.
 add("peer_state_corr_diff", "joined", CORR + """;;
-SELECT coalesce(g.state, m.state) AS state, coalesce(g.state_2, m.state_2) AS state_2,
-  round(g.corr - m.corr, 6) AS corr_diff
-FROM (SELECT * FROM matrix WHERE gpu_node = 0) g
-FULL JOIN (SELECT * FROM matrix WHERE gpu_node = 1) m
-  ON g.state = m.state AND g.state_2 = m.state_2""")
+SELECT state, state_2, round(max(CASE WHEN gpu_node = 0 THEN corr END)
+  - max(CASE WHEN gpu_node = 1 THEN corr END), 6) AS corr_diff
+FROM matrix GROUP BY state, state_2""")
 
 # --- data quality -------------------------------------------------------------
 
@@ -746,6 +745,15 @@ sums AS (SELECT """ + ", ".join(
 add("corr_spearman", "raw", KNOWN + ", ranked AS (SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
     for c in DOUBLES) + " FROM known);;" + matrix("ranked"))
+add("corr_spearman_wide", "samples", "ranked AS (SELECT " + ", ".join(
+    f'rank() OVER (ORDER BY "{c}") + (count(*) OVER (PARTITION BY "{c}") - 1) / 2.0 AS "{c}"'
+    for c in WIDE[:-1]) + """ FROM samples),
+sums AS (SELECT """ + ", ".join(
+    f'covar_pop("{x}", "{y}") / nullif(stddev_pop("{x}") * stddev_pop("{y}"), 0) AS "{i}|{j}"'
+    for i, x in enumerate(WIDE[:-1]) for j, y in enumerate(WIDE[:-1]) if i <= j) + """ FROM ranked);;
+""" + " UNION ALL ".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, round(\"{min(i, j)}|{max(i, j)}\", 6) AS corr FROM sums"
+    for i, x in enumerate(WIDE[:-1]) for j, y in enumerate(WIDE[:-1])))
 add("distinct_states", "joined", "SELECT DISTINCT state FROM js")
 add("node_expand", "job_nodes", "SELECT id, node AS node_name FROM job_nodes")
 add("node_expand_simple", "jobs", r"""

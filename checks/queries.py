@@ -21,6 +21,7 @@ from rackline.sources import views
 from rackline.sources.loader import read_table
 from rackline.sources.tables import (
     Tables,
+    columns_of_type,
     load,
     materialise,
     select_by_dtype,
@@ -787,6 +788,14 @@ def corr_spearman(spark, base):
     return correlation.spearman_matrix(raw(spark, base), CORRELATED, ["prom_id"])
 
 
+@query("corr_spearman_wide")
+def corr_spearman_wide(spark, base):
+    """Rank correlation of all doubles of the samples."""
+    samples = views.samples(spark, base)
+    doubles = columns_of_type(samples, T.DoubleType)
+    return correlation.spearman_matrix(samples, doubles, ["prom_id"])
+
+
 @query("distinct_states")
 def distinct_states(spark, base):
     return distribution.distinct_values(joined(spark, base), "state")

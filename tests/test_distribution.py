@@ -174,9 +174,9 @@ def test_correlation_without_doubles(spark):
     assert correlation.pearson_matrix(df).count() == 0
 
 
-@pytest.mark.parametrize("pairwise", [12, 1])
-def test_correlation_of_narrow_and_wide_tables(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(correlation, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("block", [4, 1, 2])
+def test_correlation_in_blocks_of_columns(spark, monkeypatch, block):
+    monkeypatch.setattr(correlation, "BLOCK", block)
     df = spark.createDataFrame(
         [(1.0, 2.0, 5.0), (2.0, 4.5, 5.0), (3.0, 5.0, 5.0), (4.0, None, 5.0), (float("nan"), 9.0, 5.0)],
         "x double, y double, c double",
@@ -187,3 +187,28 @@ def test_correlation_of_narrow_and_wide_tables(spark, monkeypatch, pairwise):
     assert found["x", "c"] is None and found["c", "c"] is None and len(found) == 9
     nothing = correlation.pearson_matrix(df.limit(0)).collect()
     assert len(nothing) == 9 and all(r.corr is None for r in nothing)
+
+
+def test_one_plan_for_many_columns(spark):
+    rng = random.Random(4)
+    rows = [tuple(rng.gauss(0, 1) + (i % 7) * c for c in range(21)) for i in range(400)]
+    names = [f"c.{c}" for c in range(21)]
+    frame = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).withColumn("id", F.monotonically_increasing_id())
+    want = {"pearson": pd.DataFrame(rows, columns=names).corr(), "spearman": pd.DataFrame(rows, columns=names).corr("spearman")}
+    pearson = correlation.pearson_matrix(frame, names)
+    found = {"pearson": pearson, "spearman": correlation.spearman_matrix(frame, names, ["id"])}
+    for method, df in found.items():
+        got = {(r.x, r.y): r["corr"] for r in df.collect()}
+        assert len(got) == 21 * 21
+        assert all(got[a, b] == pytest.approx(want[method].loc[a, b]) for a in names for b in names)
+
+
+def test_row_ranks_of_a_value_over_many_segments(spark):
+    """Half of the rows share a value; another tie ends where a segment does."""
+    values = [5.0] * 500 + [float(i // 3) for i in range(300)] + [1000.0 + i for i in range(200)]
+    rows = [(i, [v, -v]) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(6)
+    got = {(r.id, r.variable): r["rank"] for r in correlation.row_ranks(df, ["id"]).collect()}
+    for variable, sign in ((0, 1), (1, -1)):
+        want = (sign * pd.Series(values)).rank()
+        assert [got[i, variable] for i in range(1000)] == list(want)
