@@ -74,76 +74,115 @@ def _quantile_name(q: float) -> str:
     return "p" + f"{100 * q:.4f}".rstrip("0").rstrip(".").replace(".", "_")
 
 
-def _quantile_columns(qs: Sequence[float], names: Sequence[str]) -> list[Column]:
-    """Aggregates over ranked values that give linearly interpolated quantiles."""
-    columns = []
-    for q, name in zip(qs, names, strict=True):
-        place = F.lit(float(q)) * (F.col("total") - 1)
-
-        def value_at(rank: Column) -> Column:
-            inside = (F.col("cum") - F.col("n") <= rank) & (rank < F.col("cum"))
-            return F.max(F.when(inside, F.col("value")))
-
-        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    return columns
-
-
-# Share of a group's rows on either side of a quantile that a first bracket spans.
-MARGIN = 0.0005
-
-
-def _brackets(long: DataFrame, keys: Sequence[str], qs: Sequence[float], margin: float):
-    """Per group its number of rows and, for every quantile, bounds that should enclose it."""
-    bounds = []
-    for i, q in enumerate(qs):
-        low, high = max(0.0, q - margin), min(1.0, q + margin)
-        bounds += [
-            (F.percentile_approx("value", low) if low > 0 else F.min("value")).alias(f"low_{i}"),
-            (F.percentile_approx("value", high) if high < 1 else F.max("value")).alias(f"high_{i}"),
-        ]
-    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *bounds)
-
-
-def _bracketed(long: DataFrame, keys: Sequence[str], qs: Sequence[float], names, margin: float):
-    """One row per group and the quantiles; null where the bracket missed its rank."""
-    brackets = materialise(_brackets(long, keys, qs, margin))
-    # A row counts once for every quantile whose bracket it is below or within.
-    entry = F.array_compact(
-        F.array(
+# Share of a group's rows on either side of a quantile that a first bracket spans, and the
+# size of the sketches it comes from, whose rank error is about a third of it.
+MARGIN = 0.002
+SKETCH = 4096
+_ALL = "_all"
+
+
+def _numbers(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The groups' keys, or one for the whole table, and the columns as doubles ``v_0, v_1, ...``."""
+    values = [null_if_nan(F.col(f"`{c}`").cast("double")).alias(f"v_{i}") for i, c in enumerate(cols)]
+    if by:
+        return df.select(*by, *values), list(by)
+    return df.select(F.lit(0).alias(_ALL), *values), [_ALL]
+
+
+def _sketched(wide: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Per group count, mean, deviation, ends and a quantile sketch of every column, in one aggregate."""
+    return materialise(
+        wide.groupBy(*keys).agg(
             *[
-                F.when(
-                    F.col("value") <= F.col(f"high_{i}"),
-                    F.struct(
-                        F.lit(i).alias("q"),
-                        F.when(F.col("value") >= F.col(f"low_{i}"), F.col("value")).alias("value"),
-                    ),
+                function(f"v_{i}").alias(f"{name}_{i}")
+                for i in range(len(cols))
+                for name, function in (
+                    ("total", F.count),
+                    ("mean", F.avg),
+                    ("std", F.stddev_samp),
+                    ("min", F.min),
+                    ("max", F.max),
+                    ("sketch", lambda c: F.kll_sketch_agg_double(c, SKETCH)),
                 )
-                for i in range(len(qs))
             ]
         )
     )
-    bounded = join_group(long, brackets, keys)
-    entries = bounded.select(*keys, F.explode(entry).alias("entry")).select(*keys, "entry.*")
-    counts = materialise(entries.groupBy(*keys, "q", "value").agg(F.count(F.lit(1)).alias("n")))
-    group = [*keys, "q"]
-    below = counts.where("value IS NULL").select(*group, F.col("n").alias("below"))
-    inside = counts.where("value IS NOT NULL")
-    placed = running_total(segmented(inside, group, ["value"]), group, ["value"], "n", "within")
-    placed = join_group(placed, below, group)
-    cum = F.coalesce("below", F.lit(0)) + F.col("within")
-    placed = join_group(placed, brackets.select(*keys, "total"), keys).withColumn("cum", cum)
-    columns = []
-    for i, (q, name) in enumerate(zip(qs, names, strict=True)):
-        place = F.lit(float(q)) * (F.col("total") - 1)
-
-        def value_at(rank: Column, i: int = i) -> Column:
-            here = (F.col("q") == i) & (F.col("cum") - F.col("n") <= rank) & (rank < F.col("cum"))
-            return F.max(F.when(here, F.col("value")))
-
-        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    return placed.groupBy(*keys).agg(*columns)
+
+
+def _per_column(table: DataFrame, keys: Sequence[str], cols: Sequence[str], fields: dict[str, str]) -> DataFrame:
+    """Long form of per-group results: ``keys..., variable`` and the fields, named ``<pattern>_<column number>``."""
+    entries = [
+        F.struct(F.lit(c).alias("variable"), *[F.col(f"{pattern}_{i}").alias(f) for f, pattern in fields.items()])
+        for i, c in enumerate(cols)
+    ]
+    return table.select(*keys, F.inline(F.array(*entries)))
+
+
+def _bracket(i: int, q: float, margin: float) -> tuple[Column, Column]:
+    """Values of column i that should enclose its q-quantile."""
+
+    def at(rank: float) -> Column:
+        if rank <= 0 or rank >= 1:
+            return F.col(f"min_{i}" if rank <= 0 else f"max_{i}")
+        return F.when(
+            F.col(f"total_{i}") > 0, F.kll_sketch_get_quantile_double(f"sketch_{i}", F.lit(float(rank)))
+        )
+
+    return at(q - margin), at(q + margin)
+
+
+def _bracketed(wide, keys, cols, sketched: DataFrame, qs: Sequence[float], names, margin: float) -> DataFrame:
+    """One row per group and column with its quantiles; null where a bracket missed its rank."""
+    cells = [(i, j) for i in range(len(cols)) for j in range(len(qs))]
+    bounds = {}
+    for i, j in cells:
+        low, high = _bracket(i, qs[j], margin)
+        bounds |= {f"low_{i}_{j}": low, f"high_{i}_{j}": high}
+    bounded = join_group(wide, materialise(sketched.select(*keys, *[c.alias(n) for n, c in bounds.items()])), keys)
+    # Rows below a bracket are only counted.
+    below = bounded.groupBy(*keys).agg(
+        *[count_where(F.col(f"v_{i}") < F.col(f"low_{i}_{j}")).alias(f"below_{i}_{j}") for i, j in cells]
+    )
+    spot = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"below_{i}_{j}").alias("below"), F.col(f"total_{i}").alias("total"))
+        for i, j in cells
+    ]
+    below = join_group(below, sketched.select(*keys, *[f"total_{i}" for i in range(len(cols))]), keys)
+    below = materialise(below.select(*keys, F.inline(F.array(*spot))))
+    inside = [
+        F.when(
+            F.col(f"v_{i}").between(F.col(f"low_{i}_{j}"), F.col(f"high_{i}_{j}")),
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v_{i}").alias("value")),
+        )
+        for i, j in cells
+    ]
+    group = [*keys, "i", "j"]
+    entries = bounded.select(*keys, F.inline(F.array_compact(F.array(*inside))))
+    counts = entries.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(segmented(counts, group, ["value"]), group, ["value"], "n", "within")
+    placed = join_group(placed, below, group).withColumn("cum", F.col("below") + F.col("within"))
+
+    place = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("j") + 1) * (F.col("total") - 1)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("cum") - F.col("n") <= rank) & (rank < F.col("cum")), F.col("value")))
+
+    low, high = value_at(F.floor(place)), value_at(F.ceil(place))
+    found = placed.groupBy(*group).agg((low + (high - low) * F.max(place - F.floor(place))).alias("quantile"))
+    label = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
+    return found.groupBy(*keys, label.alias("variable")).agg(
+        *[F.max(F.when(F.col("j") == j, F.col("quantile"))).alias(name) for j, name in enumerate(names)]
+    )
+
+
+def _quantiles(wide, keys, cols, sketched: DataFrame, qs: Sequence[float], names, margin: float = MARGIN) -> DataFrame:
+    """Exact quantiles by brackets, which are widened until they hold their ranks."""
+    while True:
+        found = materialise(_bracketed(wide, keys, cols, sketched, qs, names, margin))
+        missed = reduce(lambda a, b: a | b, [F.col(f"`{name}`").isNull() for name in names])
+        if margin >= 1 or found.where(missed).isEmpty():
+            return found
+        margin *= 10
 
 
 def quantiles(
@@ -155,21 +194,18 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles, one row per group and column, named ``p<percent>``.
 
-    Approximate quantiles give a bracket around each wanted rank.  Rows below a bracket
-    are counted, and only values inside are put in order, so no copy of the table is
-    written and almost nothing is sorted.  The counts show whether the rank lies inside;
-    if it does not, the bracket is widened, in the end to all values.
+    One pass over the table makes a sketch of every column, which gives a bracket around
+    each wanted rank.  Rows below a bracket are counted, and only values inside are put in
+    order, so no copy of the table is written and almost nothing is sorted.  The counts show
+    whether the rank lies inside; if it does not, the bracket is widened, in the end to all
+    values.
 
     Runs its jobs while it is called, as the next bracket depends on the last one.
     """
+    wide, keys = _numbers(df, cols, by)
     names = [_quantile_name(q) for q in qs]
-    long, keys = doubles_long(df, cols, by), [*by, "variable"]
-    while True:
-        found = materialise(_bracketed(long, keys, qs, names, margin))
-        missed = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in names])
-        if margin >= 1 or found.where(missed).isEmpty():
-            return found
-        margin *= 10
+    found = _quantiles(wide, keys, cols, _sketched(wide, keys, cols), qs, names, margin)
+    return found.select(*by, "variable", *names)
 
 
 def describe(
@@ -177,25 +213,17 @@ def describe(
 ) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max; missing values skipped.
 
-    The input is read once: all statistics come from the counted values.
-    ``scale`` converts units (60 for hours to minutes).
+    All but the quartiles comes from the pass that makes the sketches for them (see
+    :func:`quantiles`).  ``scale`` converts units (60 for hours to minutes).
     """
-    centred = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2.0))
-    freedom = F.nullif(F.max("total") - 1, F.lit(0).cast("bigint"))
-    stats = (
-        ranked_values(df, cols, by)
-        .groupBy(*by, "variable")
-        .agg(
-            F.max("total").alias("count"),
-            F.max("mean").alias("mean"),
-            F.sqrt(centred / freedom).alias("std"),
-            F.max("min").alias("min"),
-            *_quantile_columns([0.25, 0.5, 0.75], ["p25", "p50", "p75"]),
-            F.max("max").alias("max"),
-        )
-    )
-    scaled = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-    return stats.withColumns({c: F.col(c) * scale for c in scaled})
+    wide, keys = _numbers(df, cols, by)
+    sketched = _sketched(wide, keys, cols)
+    found = _quantiles(wide, keys, cols, sketched, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    fields = {"count": "total", "mean": "mean", "std": "std", "min": "min", "max": "max"}
+    stats = _per_column(sketched, keys, cols, fields).where(F.col("count") > 0)
+    both = join_group(stats, found, [*keys, "variable"])
+    names = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    return both.select(*by, "variable", "count", *[(F.col(c) * scale).alias(c) for c in names])
 
 
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -209,41 +237,66 @@ def ecdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _with_fences(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
-    keys = [*by, "variable"]
-    quartiles = ranked.groupBy(*keys).agg(
-        *_quantile_columns([0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    )
+def _fenced(df: DataFrame, cols: Sequence[str], by: Sequence[str]):
+    """Quartiles per group and column, and the rows with each column's fences ``low_i, high_i``."""
+    wide, keys = _numbers(df, cols, by)
+    quartiles = _quantiles(wide, keys, cols, _sketched(wide, keys, cols), [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return attach_group(ranked, quartiles, keys).withColumns(
-        {"_low": F.col("q1") - reach, "_high": F.col("q3") + reach}
-    )
+    ends = [
+        F.max(F.when(F.col("variable") == c, end)).alias(f"{name}_{i}")
+        for i, c in enumerate(cols)
+        for name, end in (("low", F.col("q1") - reach), ("high", F.col("q3") + reach))
+    ]
+    return quartiles, join_group(wide, materialise(quartiles.groupBy(*keys).agg(*ends)), keys), keys
+
+
+def _beyond(fenced: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The distinct values outside the fences, with their row counts."""
+    outside = [
+        F.when(
+            ~F.col(f"v_{i}").between(F.col(f"low_{i}"), F.col(f"high_{i}")),
+            F.struct(F.lit(c).alias("variable"), F.col(f"v_{i}").alias("value")),
+        )
+        for i, c in enumerate(cols)
+    ]
+    rows = fenced.select(*keys, F.inline(F.array_compact(F.array(*outside))))
+    return rows.groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (outermost values within 1.5 quartile ranges of the
-    box) and the number of rows and of distinct values outside the whiskers."""
-    inside = F.col("value").between(F.col("_low"), F.col("_high"))
-    return (
-        _with_fences(ranked_values(df, cols, by), by)
-        .groupBy(*by, "variable")
-        .agg(
-            F.max("q1").alias("q1"),
-            F.max("median").alias("median"),
-            F.max("q3").alias("q3"),
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outlier_rows"),
-            count_where(~inside).alias("outlier_values"),
-        )
+    box) and the number of rows and of distinct values outside the whiskers.
+
+    Runs jobs while it is called, see :func:`quantiles`.  Only values outside are grouped.
+    """
+    quartiles, fenced, keys = _fenced(df, cols, by)
+    whiskers = []
+    for i in range(len(cols)):
+        inside = F.when(F.col(f"v_{i}").between(F.col(f"low_{i}"), F.col(f"high_{i}")), F.col(f"v_{i}"))
+        whiskers += [F.min(inside).alias(f"first_{i}"), F.max(inside).alias(f"last_{i}")]
+    fields = {"whisker_low": "first", "whisker_high": "last"}
+    ends = _per_column(materialise(fenced.groupBy(*keys).agg(*whiskers)), keys, cols, fields)
+    outliers = _beyond(fenced, keys, cols).groupBy(*keys, "variable").agg(
+        F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values")
+    )
+    found = join_group(join_group(quartiles, ends, [*keys, "variable"]), materialise(outliers), [*keys, "variable"])
+    return found.select(
+        *by,
+        "variable",
+        "q1",
+        "median",
+        "q3",
+        "whisker_low",
+        "whisker_high",
+        F.coalesce("_rows", F.lit(0)).alias("outlier_rows"),
+        F.coalesce("_values", F.lit(0)).alias("outlier_values"),
     )
 
 
 def box_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """The distinct values outside the whiskers, with their row counts."""
-    inside = F.col("value").between(F.col("_low"), F.col("_high"))
-    fenced = _with_fences(ranked_values(df, cols, by), by)
-    return fenced.where(~inside).select(*by, "variable", "value", "n")
+    _, fenced, keys = _fenced(df, cols, by)
+    return _beyond(fenced, keys, cols).select(*by, "variable", "value", "n")
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
