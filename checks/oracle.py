@@ -77,7 +77,7 @@ add("class_state_metrics", "joined", METRICS + """;;
 SELECT gpu_node, state, submissions, job_runtime_seconds, round(node_energy, 2) AS node_energy
 FROM metrics""")
 ORACLE["named_tables"] = ORACLE["class_state_metrics"]
-add("select_doubles", "jobs", """
+add("select_integers", "jobs", """
 SELECT numnodes, count(*) AS n, sum(numcores)::BIGINT AS cores FROM jobs GROUP BY numnodes""")
 add("class_comparison", "joined", METRICS + COMPARED + """;;
 SELECT * REPLACE (round(job_energy, 2) AS job_energy) FROM compared""")
@@ -133,6 +133,22 @@ ORACLE["loaded_every_fifth"] = """
 SELECT event_id, user_id, event_type, round(value, 6) AS value
 FROM (SELECT *, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS i FROM events)
 WHERE i % 5 = 0"""
+FIFTH = """
+fifth AS (SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS i FROM events)
+  WHERE i % 5 = 0)"""
+add("loaded_clean", "", FIFTH + """;;
+SELECT event_id, user_id, epoch_us(ts) AS ts, event_type, round(value, 6) AS value FROM fifth
+WHERE NOT (event_id IS NULL OR ts IS NULL OR user_id IS NULL OR event_type IS NULL OR value IS NULL OR props IS NULL)""")
+add("loaded_profile", "", FIFTH + ", p AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, round(100.0 * count(CASE WHEN {c} IS NULL THEN 1 END) / count(*), 6) AS null_percentage, "
+    + (f"printf('%.6f', min({c}))" if c == "value" else f"min({c})::VARCHAR") + " AS example_value, "
+    + ("round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std" if c == "value"
+       else "NULL::DOUBLE AS mean, NULL::DOUBLE AS std") + " FROM fifth"
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "props")) + """);;
+SELECT *, CASE WHEN mean > 0 THEN round(std / mean, 4) END AS coeff_var FROM p""")
+add("literal_classes", "samples", """
+names(gpu_node, type, card) AS (VALUES (0, 'Generic', NULL), (1, 'ML', 'gpu'), (2, 'Storage', NULL));;
+SELECT type, card, (SELECT count(*) FROM samples s WHERE s.gpu_node = names.gpu_node) AS samples FROM names""")
 add("concurrent_jobs", "joined", METRICS + """;;
 SELECT prom_id, slurm_id, concurrent AS concurrent_job_count,
   round(node_power_usage / concurrent, 6) AS power_per_job FROM counted""")
@@ -592,11 +608,17 @@ FROM matrix GROUP BY state, state_2""")
 
 # --- data quality -------------------------------------------------------------
 
-RAW_COLUMNS = [
-    "prom_id", "node", "timestamp", "gpu_node", "node_ambient_temp", "node_power_usage",
-    "nvidia_gpu_power_usage_milliwatts_0", "power_json",
+WIDE = [
+    "node_ambient_temp", "node_power_usage", "node_load1", "node_rapl_package_power_sum",
+    "node_memory_Active_bytes",
+    *[f"node_{m}_{s}" for m in ("thermal_zone_temp", "hwmon_temp_celsius") for s in ("min", "mean", "max")],
+    "nvidia_gpu_power_usage_milliwatts_sum", "nvidia_gpu_memory_used_bytes_sum",
+    *[f"nvidia_gpu_temperature_celsius_{s}" for s in ("min", "mean", "max")],
+    *[f"nvidia_gpu_power_usage_milliwatts_{i}" for i in range(4)],
+    *[f"nvidia_gpu_temperature_celsius_{i}" for i in range(4)],
+    "constant",
 ]
-UNTIMED = [c for c in RAW_COLUMNS if c != "timestamp"]
+RAW_COLUMNS = ["prom_id", "node", "timestamp", "gpu_node", *WIDE[:-1], "power_json"]
 
 
 def pct_null(c: str) -> str:
@@ -606,33 +628,31 @@ def pct_null(c: str) -> str:
 add("null_pct", "raw", "SELECT " + ", ".join(
     f'round({pct_null(c)}, 6) AS "{c}"' for c in RAW_COLUMNS) + " FROM raw")
 add("null_pct_by_node", "raw", "p AS (SELECT node AS k, " + ", ".join(
-    f'{pct_null(c)} AS "{c}%null"' for c in UNTIMED) + " FROM raw GROUP BY node);; SELECT k AS node, "
-    + ", ".join(f'round("{c}%null", 6) AS "{c}%null"' for c in UNTIMED)
-    + ", round((" + " + ".join(f'"{c}%null"' for c in UNTIMED) + f") / {len(UNTIMED)}, 3)"
+    f'{pct_null(c)} AS "{c}%null"' for c in RAW_COLUMNS) + " FROM raw GROUP BY node);; SELECT k AS node, "
+    + ", ".join(f'round("{c}%null", 6) AS "{c}%null"' for c in RAW_COLUMNS)
+    + ", round((" + " + ".join(f'"{c}%null"' for c in RAW_COLUMNS) + f") / {len(RAW_COLUMNS)}, 3)"
     + ' AS "cols_mean%null" FROM p')
 
 
 def profiled(c: str, kind: str) -> str:
     numbers = (
-        f"round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std"
+        f'round(avg("{c}"), 2) AS mean, round(stddev_samp("{c}"), 2) AS std'
         if kind == "double"
         else "NULL::DOUBLE AS mean, NULL::DOUBLE AS std"
     )
+    example = f"printf('%.6f', min(\"{c}\"))" if kind == "double" else f'min("{c}")::VARCHAR'
     return (
         f"SELECT '{c}' AS name, '{kind}' AS \"dataType\", round({pct_null(c)}, 6) AS null_percentage, "
-        f"min({c})::VARCHAR AS example_value, {numbers} FROM raw"
+        f"{example} AS example_value, {numbers} FROM raw"
     )
 
 
+KINDS = {"prom_id": "bigint", "node": "string", "timestamp": "timestamp_ntz", "gpu_node": "int", "power_json": "string"}
 add("profile", "raw", "p AS (" + " UNION ALL ".join(
-    profiled(c, kind) for c, kind in (
-        ("prom_id", "bigint"), ("node", "string"), ("gpu_node", "int"),
-        ("node_ambient_temp", "double"), ("node_power_usage", "double"), ("power_json", "string"),
-        ("nvidia_gpu_power_usage_milliwatts_0", "double"),
-    )) + """);;
+    profiled(c, KINDS.get(c, "double")) for c in RAW_COLUMNS) + """);;
 SELECT *, CASE WHEN mean > 0 THEN round(std / mean, 4) END AS coeff_var FROM p""")
 add("null_mask", "raw", "SELECT prom_id, " + ", ".join(
-    f'("{c}" IS NULL)::INT AS "{c}"' for c in UNTIMED if c != "prom_id") + " FROM raw")
+    f'("{c}" IS NULL)::INT AS "{c}"' for c in RAW_COLUMNS if c != "prom_id") + " FROM raw")
 add("null_mask_by_hour", "raw", """
 SELECT node, strftime("timestamp", '%Y-%m-%d %H') AS hour, count(*) AS rows, """ + ", ".join(
     f'count(CASE WHEN "{c}" IS NULL THEN 1 END) AS "null_{c}"'
@@ -642,21 +662,18 @@ COMPLETE = " AND ".join(f'"{c}" IS NOT NULL' for c in RAW_COLUMNS)
 add("complete_rows", "raw", f"""
 SELECT count(*) AS rows, count(CASE WHEN {COMPLETE} THEN 1 END) AS complete_rows FROM raw""")
 FILLED = """
-filled AS (SELECT prom_id, node, gpu_node, node_ambient_temp, node_power_usage,
-    coalesce(nvidia_gpu_power_usage_milliwatts_0, 0) AS nvidia_gpu_power_usage_milliwatts_0,
-    power_json FROM raw),
+filled AS (SELECT * REPLACE (coalesce(nvidia_gpu_power_usage_milliwatts_0, 0)
+    AS nvidia_gpu_power_usage_milliwatts_0) FROM raw),
 kept AS (SELECT * FROM filled WHERE node_power_usage IS NOT NULL AND power_json IS NOT NULL)"""
-NUMBERS = """round(node_ambient_temp, 6) AS node_ambient_temp,
-  round(node_power_usage, 6) AS node_power_usage,
-  round(nvidia_gpu_power_usage_milliwatts_0, 6) AS nvidia_gpu_power_usage_milliwatts_0"""
+NUMBERS = ", ".join(f'round("{c}", 6) AS "{c}"' for c in WIDE[:-1]) + ", " + micros("timestamp")
 add("fill_drop", "raw", FILLED + f""";;
 SELECT prom_id, node, gpu_node, power_json, {NUMBERS} FROM kept""")
 add("fill_drop_all", "raw", f"""
-all_filled AS (SELECT prom_id, node, gpu_node, node_ambient_temp,
-    coalesce(node_power_usage, 0) AS node_power_usage,
-    coalesce(nvidia_gpu_power_usage_milliwatts_0, 0) AS nvidia_gpu_power_usage_milliwatts_0,
-    coalesce(power_json, '{{}}') AS power_json FROM raw);;
-SELECT prom_id, node, gpu_node, power_json, {NUMBERS} FROM all_filled""")
+all_filled AS (SELECT * REPLACE (coalesce(node_power_usage, 0) AS node_power_usage,
+    coalesce(nvidia_gpu_power_usage_milliwatts_0, 0) AS nvidia_gpu_power_usage_milliwatts_0)
+    REPLACE_JSON FROM raw);;
+SELECT prom_id, node, gpu_node, power_json, {NUMBERS} FROM all_filled""".replace(
+    ")\n    REPLACE_JSON", ",\n    coalesce(power_json, '{}') AS power_json)"))
 add("dropped_pct", "raw", FILLED + """,
 c AS (SELECT (SELECT count(*) FROM raw) AS rows_before, (SELECT count(*) FROM kept) AS rows_after);;
 SELECT rows_before, rows_after, round(100.0 * (rows_before - rows_after) / rows_before, 2)
@@ -724,16 +741,6 @@ def matrix(source: str) -> str:
 KNOWN = "known AS (SELECT * FROM raw WHERE " + " AND ".join(
     f"{c} IS NOT NULL" for c in DOUBLES) + ")"
 add("corr_pearson", "raw", KNOWN + ";;" + matrix("known"))
-WIDE = [
-    "node_ambient_temp", "node_power_usage", "node_load1", "node_rapl_package_power_sum",
-    "node_memory_Active_bytes",
-    *[f"node_{m}_{s}" for m in ("thermal_zone_temp", "hwmon_temp_celsius") for s in ("min", "mean", "max")],
-    "nvidia_gpu_power_usage_milliwatts_sum", "nvidia_gpu_memory_used_bytes_sum",
-    *[f"nvidia_gpu_temperature_celsius_{s}" for s in ("min", "mean", "max")],
-    *[f"nvidia_gpu_power_usage_milliwatts_{i}" for i in range(4)],
-    *[f"nvidia_gpu_temperature_celsius_{i}" for i in range(4)],
-    "constant",
-]
 add("corr_wide", "samples", """
 filled AS (SELECT *, 1.0::DOUBLE AS constant FROM samples),
 sums AS (SELECT """ + ", ".join(

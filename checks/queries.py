@@ -7,7 +7,6 @@ with different summation order can be compared.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +15,18 @@ from pyspark.sql import types as T
 
 from rackline.functions import jsonmap, nodes, ratios, times
 from rackline.operators import clean, correlation, distribution, ordered, profile
+from rackline.operators.attach import attach
 from rackline.plans import energy, gpu, hardware, integration, jobs, peers
 from rackline.sources import views
 from rackline.sources.loader import read_table
 from rackline.sources.tables import (
     Tables,
     columns_of_type,
+    fresh_path,
+    literal_table,
     load,
     materialise,
     select_by_dtype,
-    shared_folder,
     write_joined,
 )
 
@@ -175,7 +176,7 @@ def interval_join_pairs(spark, base):
 
 def stored_tables(spark, base) -> Tables:
     """The tables below one path, under their own names and with their own columns."""
-    tables = Tables(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    tables = Tables(fresh_path(spark))
     samples = views.samples(spark, base).withColumnRenamed("prom_id", "id")
     samples.write.parquet(tables.path("node_samples"))
     views.jobs(spark, base).write.parquet(tables.path("jobs"))
@@ -200,11 +201,11 @@ def named_cards(spark, base):
     )
 
 
-@query("select_doubles")
-def select_doubles(spark, base):
+@query("select_integers")
+def select_integers(spark, base):
     """Columns by type, of the table as registered under its logical name."""
     tables = stored_tables(spark, base)
-    tables.register(spark, ["node_hardware", "jobs"])
+    tables.register(spark, ["jobs"])
     return select_by_dtype(spark.table("jobs"), T.IntegerType).groupBy("numnodes").agg(
         F.count(F.lit(1)).alias("n"), F.sum("numcores").alias("cores")
     )
@@ -213,7 +214,7 @@ def select_doubles(spark, base):
 @query("joined_written")
 def joined_written(spark, base):
     """Through the sink and back: the joined table as other sessions would read it."""
-    path = f"{shared_folder(spark)}/joined-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     write_joined(joined(spark, base), path)
     return load(spark, path).select(
         F.size("slurm_nodes").alias("listed_nodes"), "prom_id", "node", micros("timestamp"), "slurm_id", "state", micros("submit_date"),
@@ -228,6 +229,32 @@ def loaded_every_fifth(spark, base):
     return table.select("event_id", "user_id", "event_type", "value")
 
 
+@query("loaded_clean")
+def loaded_clean(spark, base):
+    """Every fifth event in order, without the incomplete ones."""
+    order = ["user_id", "ts", "event_id"]
+    table, _ = read_table(spark, f"{base}/events.parquet", nth=5, sort=True, clean=True, order=order)
+    return table.select("event_id", "user_id", micros("ts"), "event_type", "value")
+
+
+@query("loaded_profile")
+def loaded_profile(spark, base):
+    """What the loader says about the events that it read."""
+    order = ["user_id", "ts", "event_id"]
+    _, seen = read_table(spark, f"{base}/events.parquet", nth=5, sort=True, clean=True, order=order)
+    return table_profile(seen).drop("dataType")
+
+
+@query("literal_classes")
+def literal_classes(spark, base):
+    """Samples per class, named by a table written in place; a class without samples stays."""
+    names = literal_table(
+        spark, [(0, "Generic", None), (1, "ML", "gpu"), (2, "Storage", None)], "gpu_node int, type string, card string"
+    )
+    counts = views.samples(spark, base).groupBy("gpu_node").agg(F.count(F.lit(1)).alias("samples"))
+    return attach(names, counts, "gpu_node").select("type", "card", F.coalesce("samples", F.lit(0)).alias("samples"))
+
+
 @query("concurrent_jobs")
 def concurrent_jobs(spark, base):
     return integration.with_concurrency(stored_joined(spark, base)).select(
@@ -650,22 +677,24 @@ def null_pct(spark, base):
 
 @query("null_pct_by_node")
 def null_pct_by_node(spark, base):
-    return profile.null_pct_by(raw(spark, base).drop("timestamp"), "node")
+    return profile.null_pct_by(raw(spark, base), "node")
+
+
+def table_profile(df: DataFrame) -> DataFrame:
+    """A profile whose examples of doubles are written alike by every engine."""
+    number = F.format_string("%.6f", F.col("example_value").cast("double"))
+    shown = F.when(F.col("dataType") == "double", number).otherwise(F.col("example_value"))
+    return df.withColumn("example_value", shown)
 
 
 @query("profile")
-def table_profile(spark, base):
-    return profile.profile(
-        raw(spark, base).select(
-            "prom_id", "node", "gpu_node", "node_ambient_temp", "node_power_usage", "power_json",
-            "nvidia_gpu_power_usage_milliwatts_0",
-        )
-    )
+def whole_profile(spark, base):
+    return table_profile(profile.profile(raw(spark, base)))
 
 
 @query("null_mask")
 def null_mask(spark, base):
-    mask = profile.null_mask(raw(spark, base).drop("timestamp"), ["prom_id"])
+    mask = profile.null_mask(raw(spark, base), ["prom_id"])
     flags = [c for c in mask.columns if c != "prom_id"]
     return mask.withColumns({c: F.col(c).cast("int") for c in flags})
 
@@ -686,12 +715,12 @@ def _drop_time(df: DataFrame) -> DataFrame:
 
 @query("fill_drop")
 def fill_drop(spark, base):
-    return _drop_time(clean.fill_drop(raw(spark, base)))
+    return clean.fill_drop(raw(spark, base)).withColumn("timestamp", micros("timestamp"))
 
 
 @query("fill_drop_all")
 def fill_drop_all(spark, base):
-    return _drop_time(clean.fill_drop_all(raw(spark, base)))
+    return clean.fill_drop_all(raw(spark, base)).withColumn("timestamp", micros("timestamp"))
 
 
 @query("dropped_pct")
@@ -773,7 +802,8 @@ CORRELATED = ("node_ambient_temp", "node_power_usage", "nvidia_gpu_power_usage_m
 
 @query("corr_pearson")
 def corr_pearson(spark, base):
-    return correlation.pearson_matrix(select_by_dtype(raw(spark, base), T.DoubleType))
+    some = raw(spark, base).select("prom_id", "node", *CORRELATED)
+    return correlation.pearson_matrix(select_by_dtype(some, T.DoubleType))
 
 
 @query("corr_wide")

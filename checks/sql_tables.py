@@ -45,10 +45,10 @@ samples AS (
 
 RAW = """
 raw AS (
-  SELECT prom_id, node, "timestamp", gpu_node, node_ambient_temp,
-    CASE WHEN prom_id % 13 <> 0 THEN node_power_usage END AS node_power_usage,
-    CASE WHEN prom_id % 17 <> 0 THEN nvidia_gpu_power_usage_milliwatts_0 END
-      AS nvidia_gpu_power_usage_milliwatts_0,
+  SELECT * REPLACE (
+      CASE WHEN prom_id % 13 <> 0 THEN node_power_usage END AS node_power_usage,
+      CASE WHEN prom_id % 17 <> 0 THEN nvidia_gpu_power_usage_milliwatts_0 END
+        AS nvidia_gpu_power_usage_milliwatts_0),
     CASE WHEN prom_id % 11 = 0 THEN NULL
          WHEN prom_id % 5 = 0 THEN '{"0": ' || (prom_id % 50)::VARCHAR || '}'
          ELSE '{"0": ' || (prom_id % 50)::VARCHAR || ', "1": ' || (prom_id % 70)::VARCHAR || '}'

@@ -96,22 +96,25 @@ def intermediate_tables(spark: SparkSession) -> Iterator[str]:
         fs.delete(where, True)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new place for a table, in the folder of the surrounding :func:`intermediate_tables`,
+    or else below a name made of the application id; it goes with the scope or the application."""
+    folder = _scope.get()
+    if folder is None:
+        folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+        fs, where = _file_system(spark, folder)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and read it back, which cuts its lineage.
 
-    Without a path the table goes to the folder of the surrounding
-    :func:`intermediate_tables`, or else below a name made of the application id,
-    which goes when the application ends.
+    Without a path the table goes to a :func:`fresh_path`.
     """
     spark = df.sparkSession
-    if path is None:
-        folder = _scope.get()
-        if folder is None:
-            folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
-            fs, where = _file_system(spark, folder)
-            fs.mkdirs(where)
-            fs.deleteOnExit(where)
-        path = f"{folder}/{uuid.uuid4().hex}"
+    path = path or fresh_path(spark)
     for observer in written:
         observer(df)
     df.write.mode("overwrite").parquet(path)

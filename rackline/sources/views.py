@@ -56,15 +56,10 @@ def samples(spark: SparkSession, base: str) -> DataFrame:
 
 def raw_samples(spark: SparkSession, base: str) -> DataFrame:
     """Samples before cleaning: gaps in two columns and a JSON map per row."""
-    return samples(spark, base).selectExpr(
-        "prom_id",
-        "node",
-        "timestamp",
-        "gpu_node",
-        "node_ambient_temp",
-        "CASE WHEN prom_id % 13 <> 0 THEN node_power_usage END AS node_power_usage",
-        """CASE WHEN prom_id % 17 <> 0 THEN nvidia_gpu_power_usage_milliwatts_0 END
-           AS nvidia_gpu_power_usage_milliwatts_0""",
+    whole = samples(spark, base)
+    gaps = {"node_power_usage": 13, "nvidia_gpu_power_usage_milliwatts_0": 17}
+    return whole.selectExpr(
+        *[f"CASE WHEN prom_id % {gaps[c]} <> 0 THEN {c} END AS {c}" if c in gaps else c for c in whole.columns],
         """CASE WHEN prom_id % 11 = 0 THEN NULL
                 WHEN prom_id % 5 = 0 THEN concat('{"0": ', prom_id % 50, '}')
                 ELSE concat('{"0": ', prom_id % 50, ', "1": ', prom_id % 70, '}')
