@@ -678,6 +678,7 @@ add("dropped_pct", "raw", FILLED + """,
 c AS (SELECT (SELECT count(*) FROM raw) AS rows_before, (SELECT count(*) FROM kept) AS rows_after);;
 SELECT rows_before, rows_after, round(100.0 * (rows_before - rows_after) / rows_before, 2)
   AS dropped_pct FROM c""")
+ORACLE["dropped_pct_observed"] = ORACLE["dropped_pct"]
 add("null_neighbours", "raw", """
 w AS (SELECT prom_id, node, node_power_usage, node_power_usage IS NULL AS h,
     lag(node_power_usage IS NULL, 1, false) OVER o AS before,
@@ -722,6 +723,16 @@ SELECT event_id, key, TRY_CAST(json_extract_string(props, '$."' || key || '"') A
 add("json_keys_props", "", """
 keys AS (SELECT DISTINCT unnest(json_keys(props)) AS key FROM events);;
 SELECT key FROM keys""")
+add("json_leaves", "", """
+t AS (SELECT event_id, unnest([
+    {'path': '$.user.id', 'value': user_id::VARCHAR, 'kind': NULL},
+    {'path': '$.user.tags[0]', 'value': event_type, 'kind': 'text'},
+    {'path': '$.user.tags[1]', 'value': (event_id % 7)::VARCHAR, 'kind': NULL},
+    {'path': '$.user.tags[2]', 'value': NULL, 'kind': NULL},
+    {'path': '$.user.tags[3][0]', 'value': 'true', 'kind': NULL}], recursive := true) FROM events),
+p AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events);;
+SELECT event_id, path, value, kind FROM t UNION ALL
+SELECT event_id, '$.props.' || key, json_extract_string(props, '$."' || key || '"'), NULL FROM p""")
 add("json_aggregate", "raw", """
 w AS (SELECT prom_id, (power_json->>'0')::DOUBLE AS a, (power_json->>'1')::DOUBLE AS b FROM raw);;
 SELECT prom_id, round(least(a, b), 2) AS "power_json-min", round(greatest(a, b), 2) AS "power_json-max",

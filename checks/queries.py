@@ -27,6 +27,7 @@ from rackline.sources.tables import (
     load,
     materialise,
     select_by_dtype,
+    store_bucketed,
     write_joined,
 )
 
@@ -62,7 +63,7 @@ NARROW = ("prom_id", "node", "timestamp", "gpu_node", "node_power_usage", "slurm
 
 def stored_joined(spark: SparkSession, base: str) -> DataFrame:
     """The joined table as a stored one, for analyses that read it several times."""
-    return materialise(joined(spark, base).select(*NARROW))
+    return store_bucketed(joined(spark, base).select(*NARROW), ["node", "timestamp"])
 
 
 def enriched(spark: SparkSession, base: str) -> DataFrame:
@@ -729,6 +730,12 @@ def dropped_pct(spark, base):
     return clean.dropped_pct(before, clean.fill_drop(before))
 
 
+@query("dropped_pct_observed")
+def dropped_pct_observed(spark, base):
+    """The same, counted while the cleaned table is written."""
+    return clean.drop_observed(raw(spark, base), clean.fill_drop)[1]
+
+
 ORDER = ["timestamp", "prom_id"]
 
 
@@ -791,6 +798,18 @@ def json_keys_props(spark, base):
     return jsonmap.json_keys(load(spark, f"{base}/events.parquet"), "props")
 
 
+@query("json_leaves")
+def json_leaves(spark, base):
+    """Values of nested JSON text, made of each event."""
+    events = load(spark, f"{base}/events.parquet")
+    nested = F.expr(
+        """concat('{"props": ', props, ', "user": {"id": ', user_id, ', "tags": ["', event_type, '", ', event_id % 7,
+           ', null, [true]]}}')"""
+    )
+    leaves = jsonmap.json_leaves(events.select("event_id", nested.alias("doc")), "doc")
+    return leaves.select("event_id", "path", "value", F.when(F.col("kind") == "STRING", "text").alias("kind"))
+
+
 @query("json_aggregate")
 def json_aggregate(spark, base):
     rows = raw(spark, base).select("prom_id", "power_json")

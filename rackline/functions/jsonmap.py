@@ -75,3 +75,36 @@ def json_aggregate(
         *[c for c in df.columns if c != col],
         *[expr.alias(f"{col}-{name}") for name, expr in stats.items() if name in wanted],
     )
+
+
+def json_leaves(df: DataFrame, col: str, levels: int = 8) -> DataFrame:
+    """One row per value that is no object or array, anywhere in the JSON text of ``col``.
+
+    In place of ``col`` come ``path`` (such as ``$.slots[2].power``), ``kind`` (the value's
+    type) and ``value`` as text, null for a JSON null.  Objects and arrays nested deeper
+    than ``levels`` come as a leaf each, with their JSON text; empty ones give nothing.
+    Text that is no JSON gives no rows, whole values at the top have the path ``$``.
+    """
+    rest = [c for c in df.columns if c not in (col, "path", "kind", "value")]
+    rows = df.select(*rest, F.lit("$").alias("path"), F.try_parse_json(F.col(col)).alias("_value")).where("_value IS NOT NULL")
+    # Each step opens what still holds others; leaves pass through as they are.
+    for _ in range(levels):
+        opened = F.when(F.schema_of_variant("_value").rlike("^(OBJECT|ARRAY)"), F.col("_value"))
+        rows = rows.withColumn("_open", opened)
+        inner = df.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_key", "_inner")
+        step = F.when(F.col("_key").isNull(), F.format_string("[%d]", F.col("_pos"))).otherwise(
+            F.concat(F.lit("."), F.col("_key"))
+        )
+        leaf = F.col("_open").isNull()
+        rows = rows.lateralJoin(inner).where(leaf | F.col("_pos").isNotNull()).select(
+            *rest,
+            F.when(leaf, F.col("path")).otherwise(F.concat("path", step)).alias("path"),
+            F.when(leaf, F.col("_value")).otherwise(F.col("_inner")).alias("_value"),
+        )
+    nothing = F.is_variant_null("_value")
+    return rows.select(
+        *rest,
+        "path",
+        F.when(nothing, "VOID").otherwise(F.schema_of_variant("_value")).alias("kind"),
+        F.when(~nothing, F.col("_value").cast("string")).alias("value"),
+    )

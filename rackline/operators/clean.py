@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackline.sources.tables import columns_of_type
+from rackline.sources.tables import columns_of_type, materialise
 
 EMPTY_MAP = "{}"
 
@@ -48,7 +49,24 @@ def dropped_pct(before: DataFrame, after: DataFrame) -> DataFrame:
     totals = counted.agg(
         F.sum("rows_before").alias("rows_before"), F.sum("rows_after").alias("rows_after")
     )
+    return _with_share(totals)
+
+
+def _with_share(totals: DataFrame) -> DataFrame:
     lost = F.try_divide(
         100.0 * (F.col("rows_before") - F.col("rows_after")), F.col("rows_before")
     )
     return totals.withColumn("dropped_pct", F.round(lost, 2))
+
+
+def drop_observed(before: DataFrame, clean: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``clean(before)`` as a stored table, and what :func:`dropped_pct` says of it.
+
+    Rows are counted before and after in the pass that writes the table.
+    """
+    rows, left = Observation(f"before-{uuid.uuid4().hex}"), Observation(f"after-{uuid.uuid4().hex}")
+    count = F.count(F.lit(1)).alias("rows")
+    after = materialise(clean(before.observe(rows, count)).observe(left, count))
+    counts = [(rows.get["rows"], left.get["rows"])]
+    totals = before.sparkSession.createDataFrame(counts, "rows_before long, rows_after long")
+    return after, _with_share(totals)

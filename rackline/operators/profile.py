@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,26 +32,22 @@ def null_pct_by(df: DataFrame, by: str = "node") -> DataFrame:
     return per_group.withColumn("cols_mean%null", F.round(total / len(df.columns), 3))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: name, type, null share, an example, mean, deviation and
-    coefficient of variation (doubles only; the latter from rounded numbers).
-
-    All of it is a single aggregate over the table, reshaped afterwards.  The
-    example is the smallest value, which does not depend on the row order.
-    """
-    fields = df.schema.fields
-    numeric = [isinstance(f.dataType, T.DoubleType) for f in fields]
+def _profile_aggregates(df: DataFrame) -> list[Column]:
     nothing = F.lit(None).cast("double")
     aggregates = []
-    for i, (field, is_double) in enumerate(zip(fields, numeric, strict=True)):
-        c = F.col(field.name)
+    for i, field in enumerate(df.schema.fields):
+        c, is_double = F.col(f"`{field.name}`"), isinstance(field.dataType, T.DoubleType)
         aggregates += [
-            _pct_null(field.name).alias(f"null_{i}"),
+            _pct_null(f"`{field.name}`").alias(f"null_{i}"),
             F.min(c).cast("string").alias(f"example_{i}"),
             (F.round(F.avg(c), 2) if is_double else F.max(nothing)).alias(f"mean_{i}"),
             (F.round(F.stddev_samp(c), 2) if is_double else F.max(nothing)).alias(f"std_{i}"),
         ]
-    row = df.agg(*aggregates)
+    return aggregates
+
+
+def _profile_rows(row: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """One row per column, from the one row of all aggregates."""
     entries = [
         F.struct(
             F.lit(f.name).alias("name"),
@@ -69,6 +66,35 @@ def profile(df: DataFrame) -> DataFrame:
     return long.withColumn("coeff_var", variation)
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """One row per column: name, type, null share, an example, mean, deviation and
+    coefficient of variation (doubles only; the latter from rounded numbers).
+
+    All of it is a single aggregate over the table, reshaped afterwards.  The
+    example is the smallest value, which does not depend on the row order.
+    """
+    return _profile_rows(df.agg(*_profile_aggregates(df)), df.schema.fields)
+
+
+class Profiled:
+    """The profile of a table, measured while something that reads all of it runs.
+
+    Use ``table`` in place of the table; once that has been written or counted,
+    ``profile()`` is there without another pass.
+    """
+
+    def __init__(self, df: DataFrame):
+        self._source = df
+        self._seen = Observation(f"profile-{uuid.uuid4().hex}")
+        self.table = df.observe(self._seen, *_profile_aggregates(df))
+
+    def profile(self) -> DataFrame:
+        kinds = self._source.agg(*_profile_aggregates(self._source)).schema
+        values = self._seen.get
+        row = self._source.sparkSession.createDataFrame([tuple(values[f.name] for f in kinds.fields)], kinds)
+        return _profile_rows(row, self._source.schema.fields)
+
+
 def overview(df: DataFrame, name: str, first: str, last: str) -> DataFrame:
     """Row count, column count and time range of a table."""
     return df.agg(

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rackline.operators.clean import fill_drop
 from rackline.operators.ordered import every_nth
-from rackline.operators.profile import profile
-from rackline.sources.tables import load
+from rackline.operators.profile import Profiled
+from rackline.sources.tables import load, materialise
 
 
 def read_table(
@@ -20,12 +20,13 @@ def read_table(
 ) -> tuple[DataFrame, DataFrame]:
     """Load a table, optionally keep every n-th row, sort and clean it.
 
-    Returns the table and the profile of what was read (before cleaning).
+    Returns the table, which is written out, and the profile of what was read (before
+    cleaning), which is measured in the pass that writes it.  A sorted table is sorted when
+    it is used.
     """
     df = load(spark, path)
     if nth > 1:
         df = every_nth(df, nth, order)
-    if sort:
-        df = df.orderBy(*order)
-    seen = profile(df)
-    return (fill_drop(df) if clean else df), seen
+    seen = Profiled(df)
+    table = materialise(fill_drop(seen.table) if clean else seen.table)
+    return (table.orderBy(*order) if sort else table), seen.profile()

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -51,6 +51,8 @@ def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
 
 _own_folders: dict[str, str] = {}
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
+#: Names of bucketed tables by the scope that they go with.
+_bucketed: dict[str | None, list[str]] = {}
 #: Called with every DataFrame that is about to be written by :func:`materialise`.
 written: list[Callable[[DataFrame], None]] = []
 
@@ -92,6 +94,8 @@ def intermediate_tables(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _scope.reset(token)
+        for name in _bucketed.pop(folder, ()):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         fs, where = _file_system(spark, folder)
         fs.delete(where, True)
 
@@ -121,6 +125,30 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
+def store_bucketed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Write ``df`` in buckets by ``keys``, sorted by them, and read it back as a table.
+
+    One shuffle places the rows; later joins and groups by all of the keys need none.  There
+    are as many buckets as shuffle partitions (200 where that is not a number).  Take keys
+    of which none holds much of the table, as a bucket is read by one task.
+    """
+    spark = df.sparkSession
+    setting = spark.conf.get("spark.sql.shuffle.partitions")
+    buckets = int(setting) if setting.isdigit() else 200
+    name = f"bucketed_{uuid.uuid4().hex}"
+    for observer in written:
+        observer(df)
+    (
+        df.repartition(buckets, *keys)
+        .write.option("path", fresh_path(spark))
+        .bucketBy(buckets, *keys)
+        .sortBy(*keys)
+        .saveAsTable(name)
+    )
+    _bucketed.setdefault(_scope.get(), []).append(name)
+    return spark.table(name)
+
+
 def write_joined(df: DataFrame, path: str, order=("node", "timestamp", "start_date")) -> None:
     """Overwrite ``path`` with the joined table, clustered by node and time.
 

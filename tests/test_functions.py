@@ -199,3 +199,24 @@ def test_byte_units(spark):
         "cpu_memory_giga_bytes_total", "node_filesystem_size_tera_bytes_total", "cpu_count"
     ]
     assert tuple(out.first()) == (2.0, 3.0, 7)
+
+
+def test_json_leaves(spark):
+    texts = [
+        '{"a": {"b": [1, {"c": "x"}, null, []]}, "d": 2.5, "e": {}}',
+        "[true, [[7]]]",
+        '"alone"',
+        "null",
+        "{broken",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, doc string").withColumn("path", F.lit("mine"))
+    rows = sorted((r.id, r.path, r.value) for r in jsonmap.json_leaves(df, "doc").collect())
+    assert rows == sorted([
+        (0, "$.a.b[0]", "1"), (0, "$.a.b[1].c", "x"), (0, "$.a.b[2]", None), (0, "$.d", "2.5"),
+        (1, "$[0]", "true"), (1, "$[1][0][0]", "7"), (2, "$", "alone"), (3, "$", None),
+    ], key=lambda r: r[:2])
+    kinds = {r.path: r.kind for r in jsonmap.json_leaves(df.where("id = 0"), "doc").collect()}
+    assert kinds["$.a.b[1].c"] == "STRING" and kinds["$.a.b[2]"] == "VOID" and kinds["$.d"].startswith("DECIMAL")
+    shallow = {r.path: r.value for r in jsonmap.json_leaves(df.where("id < 2"), "doc", levels=2).collect()}
+    assert shallow["$.a.b"] == '[1,{"c":"x"},null,[]]' and shallow["$[1][0]"] == "[7]"

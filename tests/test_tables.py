@@ -1,13 +1,16 @@
 """Catalog, loader, sink and materialisation."""
 
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import types as T
 
+from rackline.operators.clean import drop_observed, fill_drop
+from rackline.plans.integration import with_concurrency
 from rackline.sources import tables
 from rackline.sources.loader import read_table
-from rackline.sources.tables import Tables
+from rackline.sources.tables import Tables, intermediate_tables, store_bucketed
 
 START = datetime(2024, 1, 1)
 
@@ -81,3 +84,33 @@ def test_loader_options(spark, samples, tmp_path):
 def test_columns_by_type_and_name(samples):
     assert tables.select_by_dtype(samples, T.DoubleType).columns == ["nvidia_power"]
     assert tables.columns_with(samples, "nvidia", "map") == ["nvidia_map"]
+
+
+def test_profile_comes_from_the_pass_that_writes(spark, tmp_path):
+    path = f"{tmp_path}/read_once"
+    spark.range(100).selectExpr("id", "CASE WHEN id % 4 > 0 THEN id / 2 END AS x", "'n' AS node").write.parquet(path)
+    table, seen = read_table(spark, path, clean=True)
+    shutil.rmtree(path)  # nothing reads it again
+    rows = {r.name: r for r in seen.collect()}
+    assert rows["x"].null_percentage == 25 and rows["id"].example_value == "0" and rows["x"]["mean"] == 25.0
+    assert table.count() == 75
+
+
+def test_rows_are_counted_while_the_clean_table_is_written(spark, tmp_path):
+    path = f"{tmp_path}/observed"
+    spark.range(40).selectExpr("id", "CASE WHEN id % 4 > 0 THEN id END AS x").write.parquet(path)
+    table, share = drop_observed(spark.read.parquet(path), fill_drop)
+    shutil.rmtree(path)
+    assert tuple(share.first()) == (40, 30, 25.0) and table.count() == 30
+
+
+def test_bucketed_tables_need_no_shuffle_by_their_keys(spark):
+    with intermediate_tables(spark):
+        rows = spark.range(5000).selectExpr("id % 40 AS node", "id % 7 AS timestamp", "id AS slurm_id")
+        stored = store_bucketed(rows, ["node", "timestamp"])
+        counted = with_concurrency(stored)
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.replace("BroadcastExchange", "")
+        assert counted.count() == 5000 and stored.count() == 5000
+        assert spark.catalog.listTables() != []
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
