@@ -3,28 +3,18 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from rackline.sources.tables import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a folder of its own, as in tests: driver
-    and executors are one process there.  Any other master must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark itself would give it, for readers that don't know Spark's default."""
+    fs, where = _file_system(spark, path)
+    return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
 class Workspace:
