@@ -89,25 +89,38 @@ def _numbers(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> tuple[Dat
     return df.select(F.lit(0).alias(_ALL), *values), [_ALL]
 
 
-def _sketched(wide: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Per group count, mean, deviation, ends and a quantile sketch of every column, in one aggregate."""
-    return materialise(
-        wide.groupBy(*keys).agg(
-            *[
-                function(f"v_{i}").alias(f"{name}_{i}")
-                for i in range(len(cols))
-                for name, function in (
-                    ("total", F.count),
-                    ("mean", F.avg),
-                    ("std", F.stddev_samp),
-                    ("min", F.min),
-                    ("max", F.max),
-                    ("sketch", lambda c: F.kll_sketch_agg_double(c, SKETCH)),
-                )
-            ]
-        )
+def _sketched(wide: DataFrame, keys: Sequence[str], cols: Sequence[str], qs: Sequence[float], margin: float) -> DataFrame:
+    """Per group count, mean, deviation and ends of every column, and bounds that should enclose
+    its quantiles, from a sketch: one aggregate."""
+    stats = wide.groupBy(*keys).agg(
+        *[
+            function(f"v_{i}").alias(f"{name}_{i}")
+            for i in range(len(cols))
+            for name, function in (
+                ("total", F.count),
+                ("mean", F.avg),
+                ("std", F.stddev_samp),
+                ("min", F.min),
+                ("max", F.max),
+                ("sketch", lambda c: F.kll_sketch_agg_double(c, SKETCH)),
+            )
+        ]
     )
 
+    def at(i: int, rank: float) -> Column:
+        if rank <= 0 or rank >= 1:
+            return F.col(f"min_{i}" if rank <= 0 else f"max_{i}")
+        return F.when(F.col(f"total_{i}") > 0, F.kll_sketch_get_quantile_double(f"sketch_{i}", F.lit(float(rank))))
+
+    bounds = [
+        at(i, rank).alias(f"{end}_{i}_{j}")
+        for i in range(len(cols))
+        for j, q in enumerate(qs)
+        for end, rank in (("low", q - margin), ("high", q + margin))
+    ]
+    rest = [c for c in stats.columns if not c.startswith("sketch_")]
+    return materialise(stats.select(*rest, *bounds))
+
 
 def _per_column(table: DataFrame, keys: Sequence[str], cols: Sequence[str], fields: dict[str, str]) -> DataFrame:
     """Long form of per-group results: ``keys..., variable`` and the fields, named ``<pattern>_<column number>``."""
@@ -118,70 +131,60 @@ def _per_column(table: DataFrame, keys: Sequence[str], cols: Sequence[str], fiel
     return table.select(*keys, F.inline(F.array(*entries)))
 
 
-def _bracket(i: int, q: float, margin: float) -> tuple[Column, Column]:
-    """Values of column i that should enclose its q-quantile."""
+def _bracketed(wide, keys, cols, sketched: DataFrame, qs: Sequence[float], names) -> DataFrame:
+    """One row per group and column with its quantiles; null where a bracket missed its rank.
 
-    def at(rank: float) -> Column:
-        if rank <= 0 or rank >= 1:
-            return F.col(f"min_{i}" if rank <= 0 else f"max_{i}")
+    Every value inside a bracket is itself, all values of a gap between brackets are one
+    entry after the bracket below, so counted entries in order give exact ranks.
+    """
+    bounds = [f"{end}_{i}_{j}" for i in range(len(cols)) for j in range(len(qs)) for end in ("low", "high")]
+    totals = [f"total_{i}" for i in range(len(cols))]
+    bounded = join_group(wide, sketched.select(*keys, *totals, *bounds), keys)
+
+    def entry(i: int) -> Column:
+        v = F.col(f"v_{i}")
+        inside, under = F.lit(False), [F.lit(None).cast("double")] * 2
+        for j in range(len(qs)):
+            low, high = F.col(f"low_{i}_{j}"), F.col(f"high_{i}_{j}")
+            inside = inside | v.between(low, high)
+            under.append(F.when(high < v, high))
         return F.when(
-            F.col(f"total_{i}") > 0, F.kll_sketch_get_quantile_double(f"sketch_{i}", F.lit(float(rank)))
+            v.isNotNull(),
+            F.struct(
+                F.lit(i).alias("i"),
+                F.when(inside, v).otherwise(F.greatest(*under)).alias("value"),
+                (~inside).alias("gap"),
+                F.col(f"total_{i}").alias("total"),
+            ),
         )
 
-    return at(q - margin), at(q + margin)
-
-
-def _bracketed(wide, keys, cols, sketched: DataFrame, qs: Sequence[float], names, margin: float) -> DataFrame:
-    """One row per group and column with its quantiles; null where a bracket missed its rank."""
-    cells = [(i, j) for i in range(len(cols)) for j in range(len(qs))]
-    bounds = {}
-    for i, j in cells:
-        low, high = _bracket(i, qs[j], margin)
-        bounds |= {f"low_{i}_{j}": low, f"high_{i}_{j}": high}
-    bounded = join_group(wide, materialise(sketched.select(*keys, *[c.alias(n) for n, c in bounds.items()])), keys)
-    # Rows below a bracket are only counted.
-    below = bounded.groupBy(*keys).agg(
-        *[count_where(F.col(f"v_{i}") < F.col(f"low_{i}_{j}")).alias(f"below_{i}_{j}") for i, j in cells]
-    )
-    spot = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"below_{i}_{j}").alias("below"), F.col(f"total_{i}").alias("total"))
-        for i, j in cells
-    ]
-    below = join_group(below, sketched.select(*keys, *[f"total_{i}" for i in range(len(cols))]), keys)
-    below = materialise(below.select(*keys, F.inline(F.array(*spot))))
-    inside = [
-        F.when(
-            F.col(f"v_{i}").between(F.col(f"low_{i}_{j}"), F.col(f"high_{i}_{j}")),
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v_{i}").alias("value")),
-        )
-        for i, j in cells
-    ]
-    group = [*keys, "i", "j"]
-    entries = bounded.select(*keys, F.inline(F.array_compact(F.array(*inside))))
-    counts = entries.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_total(segmented(counts, group, ["value"]), group, ["value"], "n", "within")
-    placed = join_group(placed, below, group).withColumn("cum", F.col("below") + F.col("within"))
-
-    place = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("j") + 1) * (F.col("total") - 1)
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("cum") - F.col("n") <= rank) & (rank < F.col("cum")), F.col("value")))
-
-    low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-    found = placed.groupBy(*group).agg((low + (high - low) * F.max(place - F.floor(place))).alias("quantile"))
+    group = [*keys, "i"]
+    entries = bounded.select(*keys, F.inline(F.array_compact(F.array(*[entry(i) for i in range(len(cols))]))))
+    counts = entries.groupBy(*group, "value", "gap").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total"))
+    order = ["value", "gap"]
+    placed = running_total(segmented(counts, group, order), group, order, "n", "cum")
+    columns = []
+    for q, name in zip(qs, names, strict=True):
+        place = F.lit(float(q)) * (F.col("total") - 1)
+
+        def value_at(rank: Column) -> Column:
+            here = ~F.col("gap") & (F.col("cum") - F.col("n") <= rank) & (rank < F.col("cum"))
+            return F.max(F.when(here, F.col("value")))
+
+        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
+        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
     label = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
-    return found.groupBy(*keys, label.alias("variable")).agg(
-        *[F.max(F.when(F.col("j") == j, F.col("quantile"))).alias(name) for j, name in enumerate(names)]
-    )
+    return placed.groupBy(*keys, label.alias("variable")).agg(*columns)
 
 
-def _quantiles(wide, keys, cols, sketched: DataFrame, qs: Sequence[float], names, margin: float = MARGIN) -> DataFrame:
-    """Exact quantiles by brackets, which are widened until they hold their ranks."""
+def _quantiles(wide, keys, cols, qs: Sequence[float], names, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
+    """Exact quantiles by brackets, which are widened until they hold their ranks; and the statistics."""
     while True:
-        found = materialise(_bracketed(wide, keys, cols, sketched, qs, names, margin))
+        sketched = _sketched(wide, keys, cols, qs, margin)
+        found = materialise(_bracketed(wide, keys, cols, sketched, qs, names))
         missed = reduce(lambda a, b: a | b, [F.col(f"`{name}`").isNull() for name in names])
         if margin >= 1 or found.where(missed).isEmpty():
-            return found
+            return found, sketched
         margin *= 10
 
 
@@ -195,16 +198,16 @@ def quantiles(
     """Exact interpolated quantiles, one row per group and column, named ``p<percent>``.
 
     One pass over the table makes a sketch of every column, which gives a bracket around
-    each wanted rank.  Rows below a bracket are counted, and only values inside are put in
-    order, so no copy of the table is written and almost nothing is sorted.  The counts show
-    whether the rank lies inside; if it does not, the bracket is widened, in the end to all
-    values.
+    each wanted rank.  A second counts the rows between brackets, and only values inside are
+    put in order, so no copy of the table is written and almost nothing is sorted.  The counts
+    show whether the rank lies inside; if it does not, the brackets are widened, in the end to
+    all values.
 
     Runs its jobs while it is called, as the next bracket depends on the last one.
     """
     wide, keys = _numbers(df, cols, by)
     names = [_quantile_name(q) for q in qs]
-    found = _quantiles(wide, keys, cols, _sketched(wide, keys, cols), qs, names, margin)
+    found, _ = _quantiles(wide, keys, cols, qs, names, margin)
     return found.select(*by, "variable", *names)
 
 
@@ -217,8 +220,7 @@ def describe(
     :func:`quantiles`).  ``scale`` converts units (60 for hours to minutes).
     """
     wide, keys = _numbers(df, cols, by)
-    sketched = _sketched(wide, keys, cols)
-    found = _quantiles(wide, keys, cols, sketched, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    found, sketched = _quantiles(wide, keys, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     fields = {"count": "total", "mean": "mean", "std": "std", "min": "min", "max": "max"}
     stats = _per_column(sketched, keys, cols, fields).where(F.col("count") > 0)
     both = join_group(stats, found, [*keys, "variable"])
@@ -238,65 +240,56 @@ def ecdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _fenced(df: DataFrame, cols: Sequence[str], by: Sequence[str]):
-    """Quartiles per group and column, and the rows with each column's fences ``low_i, high_i``."""
+    """Quartiles per group and column; and counted values: those outside the fences each for
+    itself (``value``), those inside as one entry with its ends ``first`` and ``last``."""
     wide, keys = _numbers(df, cols, by)
-    quartiles = _quantiles(wide, keys, cols, _sketched(wide, keys, cols), [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    quartiles, _ = _quantiles(wide, keys, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ends = [
         F.max(F.when(F.col("variable") == c, end)).alias(f"{name}_{i}")
         for i, c in enumerate(cols)
         for name, end in (("low", F.col("q1") - reach), ("high", F.col("q3") + reach))
     ]
-    return quartiles, join_group(wide, materialise(quartiles.groupBy(*keys).agg(*ends)), keys), keys
+    fenced = join_group(wide, quartiles.groupBy(*keys).agg(*ends), keys)
 
+    def entry(i: int, c: str) -> Column:
+        v = F.col(f"v_{i}")
+        inside = v.between(F.col(f"low_{i}"), F.col(f"high_{i}"))
+        fields = F.lit(c).alias("variable"), F.when(~inside, v).alias("value"), F.when(inside, v).alias("kept")
+        return F.when(v.isNotNull(), F.struct(*fields))
 
-def _beyond(fenced: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """The distinct values outside the fences, with their row counts."""
-    outside = [
-        F.when(
-            ~F.col(f"v_{i}").between(F.col(f"low_{i}"), F.col(f"high_{i}")),
-            F.struct(F.lit(c).alias("variable"), F.col(f"v_{i}").alias("value")),
-        )
-        for i, c in enumerate(cols)
-    ]
-    rows = fenced.select(*keys, F.inline(F.array_compact(F.array(*outside))))
-    return rows.groupBy(*keys, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = fenced.select(*keys, F.inline(F.array_compact(F.array(*[entry(i, c) for i, c in enumerate(cols)]))))
+    counted = rows.groupBy(*keys, "variable", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("kept").alias("first"), F.max("kept").alias("last")
+    )
+    return quartiles, counted, keys
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (outermost values within 1.5 quartile ranges of the
     box) and the number of rows and of distinct values outside the whiskers.
 
-    Runs jobs while it is called, see :func:`quantiles`.  Only values outside are grouped.
+    Runs jobs while it is called, see :func:`quantiles`.  The table is read three times:
+    materialise what is dear to compute.
     """
-    quartiles, fenced, keys = _fenced(df, cols, by)
-    whiskers = []
-    for i in range(len(cols)):
-        inside = F.when(F.col(f"v_{i}").between(F.col(f"low_{i}"), F.col(f"high_{i}")), F.col(f"v_{i}"))
-        whiskers += [F.min(inside).alias(f"first_{i}"), F.max(inside).alias(f"last_{i}")]
-    fields = {"whisker_low": "first", "whisker_high": "last"}
-    ends = _per_column(materialise(fenced.groupBy(*keys).agg(*whiskers)), keys, cols, fields)
-    outliers = _beyond(fenced, keys, cols).groupBy(*keys, "variable").agg(
-        F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values")
+    quartiles, counted, keys = _fenced(df, cols, by)
+    outside = F.col("value").isNotNull()
+    ends = counted.groupBy(*keys, "variable").agg(
+        F.min("first").alias("whisker_low"),
+        F.max("last").alias("whisker_high"),
+        F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_rows"),
+        count_where(outside).alias("outlier_values"),
     )
-    found = join_group(join_group(quartiles, ends, [*keys, "variable"]), materialise(outliers), [*keys, "variable"])
+    found = join_group(ends, quartiles, [*keys, "variable"])
     return found.select(
-        *by,
-        "variable",
-        "q1",
-        "median",
-        "q3",
-        "whisker_low",
-        "whisker_high",
-        F.coalesce("_rows", F.lit(0)).alias("outlier_rows"),
-        F.coalesce("_values", F.lit(0)).alias("outlier_values"),
+        *by, "variable", "q1", "median", "q3", "whisker_low", "whisker_high", "outlier_rows", "outlier_values"
     )
 
 
 def box_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """The distinct values outside the whiskers, with their row counts."""
-    _, fenced, keys = _fenced(df, cols, by)
-    return _beyond(fenced, keys, cols).select(*by, "variable", "value", "n")
+    _, counted, _ = _fenced(df, cols, by)
+    return counted.where("value IS NOT NULL").select(*by, "variable", "value", "n")
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

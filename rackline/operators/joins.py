@@ -25,8 +25,13 @@ def top_level(first: Column, last: Column) -> Column:
     return level
 
 
+def _named(level: int, bucket: Column) -> Column:
+    """One number for a bucket of a level; buckets are far fewer than 2^39."""
+    return bucket + F.lit(level << 40)
+
+
 def cover(first: Column, last: Column) -> Column:
-    """The interval of base buckets first..last as an array of (level, bucket) that tile it.
+    """The interval of base buckets first..last as an array of named buckets that tile it.
 
     Aligned runs of buckets are one bucket of the next level, and so on: a long interval
     takes up to 2 * (FACTOR - 1) buckets of each level, not one for each base bucket.
@@ -39,11 +44,8 @@ def cover(first: Column, last: Column) -> Column:
         return F.floor((x + 1) / F.lit(FACTOR**level)) - 1
 
     def blocks(level: int, low: Column, high: Column) -> Column:
-        none = F.array().cast("array<struct<_level:int,_bucket:bigint>>")
-        made = F.transform(
-            F.sequence(low, high), lambda b: F.struct(F.lit(level).alias("_level"), b.cast("bigint").alias("_bucket"))
-        )
-        return F.when(low <= high, made).otherwise(none)
+        made = F.sequence(_named(level, low), _named(level, high))
+        return F.when(low <= high, made).otherwise(F.array().cast("array<bigint>"))
 
     parts = []
     for level in range(LEVELS):
@@ -54,8 +56,9 @@ def cover(first: Column, last: Column) -> Column:
         inner_low, inner_high = up(first, level + 1) * FACTOR, (down(last, level + 1) + 1) * FACTOR - 1
         split = inner_low <= inner_high
         parts.append(blocks(level, low, F.when(split, inner_low - 1).otherwise(high)))
-        parts.append(F.when(split, blocks(level, inner_high + 1, high)).otherwise(blocks(level, F.lit(1), F.lit(0))))
-    return F.concat(*parts)
+        parts.append(F.when(split, blocks(level, inner_high + 1, high)).otherwise(F.array().cast("array<bigint>")))
+    # No aligned run of FACTOR buckets fits: the usual case, and a plain sequence.
+    return F.when(last - first + 1 < FACTOR, blocks(0, first, last)).otherwise(F.concat(*parts))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -94,11 +97,12 @@ def interval_join(
     carries a broadcast hint: Spark broadcasts only below its size threshold.
     """
     width = F.lit(bucket_seconds)
-    first = F.floor(epoch_seconds(F.col(start)) / width)
-    last = F.floor(epoch_seconds(F.col(end)) / width)
-    some = intervals.where(F.col(start) <= F.col(end))
+    first, last = F.col("_first"), F.col("_last")
+    some = intervals.where(F.col(start) <= F.col(end)).withColumns(
+        {"_first": F.floor(epoch_seconds(F.col(start)) / width), "_last": F.floor(epoch_seconds(F.col(end)) / width)}
+    )
     exploded = some.select("*", F.explode(F.array_distinct(F.col(keys))).alias("_key")).select(
-        "*", F.inline(cover(first, last))
+        "*", F.explode(cover(first, last)).alias("_bucket")
     )
     levels = (
         some.select(top_level(first, last).alias("_top"), F.explode(F.array_distinct(F.col(keys))).alias("_of"))
@@ -106,19 +110,15 @@ def interval_join(
         .groupBy("_of")
         .agg(F.max("_top").alias("_top"))
     )
-    at = epoch_seconds(F.col(ts))
-    places = F.transform(
-        F.sequence(F.lit(0), F.coalesce("_top", F.lit(0))),
-        lambda i: F.struct(
-            i.alias("_point_level"),
-            F.floor(at / (width * F.pow(F.lit(FACTOR), i).cast("bigint"))).alias("_point_bucket"),
-        ),
-    )
-    bucketed = points.join(levels, F.col(key) == F.col("_of"), "left").select(*points.columns, F.inline(places))
+    at = F.floor(epoch_seconds(F.col(ts)) / width)
+
+    places = F.array(*[_named(i, F.floor(F.col("_at") / F.lit(FACTOR**i))) for i in range(LEVELS)])
+    leveled = points.withColumn("_at", at).join(levels, F.col(key) == F.col("_of"), "left")
+    mine = F.slice(places, F.lit(1), F.coalesce(F.col("_top"), F.lit(0)) + 1)
+    bucketed = leveled.select(*points.columns, F.explode(mine).alias("_point_bucket"))
     return bucketed.join(
         exploded,
         (F.col(key) == F.col("_key"))
-        & (F.col("_point_level") == F.col("_level"))
         & (F.col("_point_bucket") == F.col("_bucket"))
         & F.col(ts).between(F.col(start), F.col(end)),
-    ).drop("_key", "_level", "_bucket", "_point_level", "_point_bucket")
+    ).drop("_key", "_bucket", "_point_bucket", "_first", "_last")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rackline.functions import nodes, times
 from rackline.operators.distribution import box_stats, shares
+from rackline.sources.tables import materialise
 
 PERIODS = {
     "day": "submit_day",
@@ -75,7 +76,7 @@ def box_jobs_per_period(
         .groupBy("is_ml", "period", "slot")
         .agg(F.count("id").alias("jobs"))
     )
-    return box_stats(counts, ["jobs"], ["is_ml", "period"]).drop(
+    return box_stats(materialise(counts), ["jobs"], ["is_ml", "period"]).drop(
         "variable", "outlier_rows", "outlier_values"
     )
 
