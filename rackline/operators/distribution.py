@@ -78,91 +78,51 @@ def _quantile_name(q: float) -> str:
 # size of the sketches it comes from, whose rank error is about a third of it.
 MARGIN = 0.002
 SKETCH = 4096
-_ALL = "_all"
 
 
-def _numbers(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """The groups' keys, or one for the whole table, and the columns as doubles ``v_0, v_1, ...``."""
-    values = [null_if_nan(F.col(f"`{c}`").cast("double")).alias(f"v_{i}") for i, c in enumerate(cols)]
-    if by:
-        return df.select(*by, *values), list(by)
-    return df.select(F.lit(0).alias(_ALL), *values), [_ALL]
-
-
-def _sketched(wide: DataFrame, keys: Sequence[str], cols: Sequence[str], qs: Sequence[float], margin: float) -> DataFrame:
-    """Per group count, mean, deviation and ends of every column, and bounds that should enclose
+def _sketched(long: DataFrame, keys: Sequence[str], qs: Sequence[float], margin: float) -> DataFrame:
+    """Per group and column count, mean, deviation and ends, and bounds that should enclose
     its quantiles, from a sketch: one aggregate."""
-    stats = wide.groupBy(*keys).agg(
-        *[
-            function(f"v_{i}").alias(f"{name}_{i}")
-            for i in range(len(cols))
-            for name, function in (
-                ("total", F.count),
-                ("mean", F.avg),
-                ("std", F.stddev_samp),
-                ("min", F.min),
-                ("max", F.max),
-                ("sketch", lambda c: F.kll_sketch_agg_double(c, SKETCH)),
-            )
-        ]
+    stats = long.groupBy(*keys).agg(
+        F.count("value").alias("total"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.kll_sketch_agg_double("value", SKETCH).alias("sketch"),
     )
 
-    def at(i: int, rank: float) -> Column:
+    def at(rank: float) -> Column:
         if rank <= 0 or rank >= 1:
-            return F.col(f"min_{i}" if rank <= 0 else f"max_{i}")
-        return F.when(F.col(f"total_{i}") > 0, F.kll_sketch_get_quantile_double(f"sketch_{i}", F.lit(float(rank))))
+            return F.col("min" if rank <= 0 else "max")
+        return F.kll_sketch_get_quantile_double("sketch", F.lit(float(rank)))
 
     bounds = [
-        at(i, rank).alias(f"{end}_{i}_{j}")
-        for i in range(len(cols))
+        at(rank).alias(f"{end}_{j}")
         for j, q in enumerate(qs)
         for end, rank in (("low", q - margin), ("high", q + margin))
     ]
-    rest = [c for c in stats.columns if not c.startswith("sketch_")]
-    return materialise(stats.select(*rest, *bounds))
-
-
-def _per_column(table: DataFrame, keys: Sequence[str], cols: Sequence[str], fields: dict[str, str]) -> DataFrame:
-    """Long form of per-group results: ``keys..., variable`` and the fields, named ``<pattern>_<column number>``."""
-    entries = [
-        F.struct(F.lit(c).alias("variable"), *[F.col(f"{pattern}_{i}").alias(f) for f, pattern in fields.items()])
-        for i, c in enumerate(cols)
-    ]
-    return table.select(*keys, F.inline(F.array(*entries)))
+    return materialise(stats.select(*keys, "total", "mean", "std", "min", "max", *bounds))
 
 
-def _bracketed(wide, keys, cols, sketched: DataFrame, qs: Sequence[float], names) -> DataFrame:
+def _bracketed(long: DataFrame, keys, sketched: DataFrame, qs: Sequence[float], names) -> DataFrame:
     """One row per group and column with its quantiles; null where a bracket missed its rank.
 
     Every value inside a bracket is itself, all values of a gap between brackets are one
     entry after the bracket below, so counted entries in order give exact ranks.
     """
-    bounds = [f"{end}_{i}_{j}" for i in range(len(cols)) for j in range(len(qs)) for end in ("low", "high")]
-    totals = [f"total_{i}" for i in range(len(cols))]
-    bounded = join_group(wide, sketched.select(*keys, *totals, *bounds), keys)
-
-    def entry(i: int) -> Column:
-        v = F.col(f"v_{i}")
-        inside, under = F.lit(False), [F.lit(None).cast("double")] * 2
-        for j in range(len(qs)):
-            low, high = F.col(f"low_{i}_{j}"), F.col(f"high_{i}_{j}")
-            inside = inside | v.between(low, high)
-            under.append(F.when(high < v, high))
-        return F.when(
-            v.isNotNull(),
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(inside, v).otherwise(F.greatest(*under)).alias("value"),
-                (~inside).alias("gap"),
-                F.col(f"total_{i}").alias("total"),
-            ),
-        )
-
-    group = [*keys, "i"]
-    entries = bounded.select(*keys, F.inline(F.array_compact(F.array(*[entry(i) for i in range(len(cols))]))))
-    counts = entries.groupBy(*group, "value", "gap").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total"))
+    bounds = [f"{end}_{j}" for j in range(len(qs)) for end in ("low", "high")]
+    bounded = join_group(long, sketched.select(*keys, "total", *bounds), keys)
+    v, inside, under = F.col("value"), F.lit(False), [F.lit(None).cast("double")] * 2
+    for j in range(len(qs)):
+        inside = inside | v.between(F.col(f"low_{j}"), F.col(f"high_{j}"))
+        under.append(F.when(F.col(f"high_{j}") < v, F.col(f"high_{j}")))
+    entries = bounded.select(
+        *keys, F.when(inside, v).otherwise(F.greatest(*under)).alias("value"), (~inside).alias("gap"), "total"
+    )
     order = ["value", "gap"]
-    placed = running_total(segmented(counts, group, order), group, order, "n", "cum")
+    counts = entries.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total"))
+    placed = running_total(segmented(counts, keys, order), keys, order, "n", "cum")
     columns = []
     for q, name in zip(qs, names, strict=True):
         place = F.lit(float(q)) * (F.col("total") - 1)
@@ -173,15 +133,14 @@ def _bracketed(wide, keys, cols, sketched: DataFrame, qs: Sequence[float], names
 
         low, high = value_at(F.floor(place)), value_at(F.ceil(place))
         columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    label = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
-    return placed.groupBy(*keys, label.alias("variable")).agg(*columns)
+    return placed.groupBy(*keys).agg(*columns)
 
 
-def _quantiles(wide, keys, cols, qs: Sequence[float], names, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
+def _quantiles(long: DataFrame, keys, qs: Sequence[float], names, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
     """Exact quantiles by brackets, which are widened until they hold their ranks; and the statistics."""
     while True:
-        sketched = _sketched(wide, keys, cols, qs, margin)
-        found = materialise(_bracketed(wide, keys, cols, sketched, qs, names))
+        sketched = _sketched(long, keys, qs, margin)
+        found = materialise(_bracketed(long, keys, sketched, qs, names))
         missed = reduce(lambda a, b: a | b, [F.col(f"`{name}`").isNull() for name in names])
         if margin >= 1 or found.where(missed).isEmpty():
             return found, sketched
@@ -205,10 +164,8 @@ def quantiles(
 
     Runs its jobs while it is called, as the next bracket depends on the last one.
     """
-    wide, keys = _numbers(df, cols, by)
-    names = [_quantile_name(q) for q in qs]
-    found, _ = _quantiles(wide, keys, cols, qs, names, margin)
-    return found.select(*by, "variable", *names)
+    long, keys = doubles_long(df, cols, by), [*by, "variable"]
+    return _quantiles(long, keys, qs, [_quantile_name(q) for q in qs], margin)[0]
 
 
 def describe(
@@ -219,13 +176,11 @@ def describe(
     All but the quartiles comes from the pass that makes the sketches for them (see
     :func:`quantiles`).  ``scale`` converts units (60 for hours to minutes).
     """
-    wide, keys = _numbers(df, cols, by)
-    found, sketched = _quantiles(wide, keys, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-    fields = {"count": "total", "mean": "mean", "std": "std", "min": "min", "max": "max"}
-    stats = _per_column(sketched, keys, cols, fields).where(F.col("count") > 0)
-    both = join_group(stats, found, [*keys, "variable"])
+    long, keys = doubles_long(df, cols, by), [*by, "variable"]
+    found, sketched = _quantiles(long, keys, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    both = join_group(sketched.withColumnRenamed("total", "count"), found, keys)
     names = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-    return both.select(*by, "variable", "count", *[(F.col(c) * scale).alias(c) for c in names])
+    return both.select(*keys, "count", *[(F.col(c) * scale).alias(c) for c in names])
 
 
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -242,24 +197,14 @@ def ecdf(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 def _fenced(df: DataFrame, cols: Sequence[str], by: Sequence[str]):
     """Quartiles per group and column; and counted values: those outside the fences each for
     itself (``value``), those inside as one entry with its ends ``first`` and ``last``."""
-    wide, keys = _numbers(df, cols, by)
-    quartiles, _ = _quantiles(wide, keys, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    long, keys = doubles_long(df, cols, by), [*by, "variable"]
+    quartiles, _ = _quantiles(long, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    ends = [
-        F.max(F.when(F.col("variable") == c, end)).alias(f"{name}_{i}")
-        for i, c in enumerate(cols)
-        for name, end in (("low", F.col("q1") - reach), ("high", F.col("q3") + reach))
-    ]
-    fenced = join_group(wide, quartiles.groupBy(*keys).agg(*ends), keys)
-
-    def entry(i: int, c: str) -> Column:
-        v = F.col(f"v_{i}")
-        inside = v.between(F.col(f"low_{i}"), F.col(f"high_{i}"))
-        fields = F.lit(c).alias("variable"), F.when(~inside, v).alias("value"), F.when(inside, v).alias("kept")
-        return F.when(v.isNotNull(), F.struct(*fields))
-
-    rows = fenced.select(*keys, F.inline(F.array_compact(F.array(*[entry(i, c) for i, c in enumerate(cols)]))))
-    counted = rows.groupBy(*keys, "variable", "value").agg(
+    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
+    rows = join_group(long, quartiles, keys).select(
+        *keys, F.when(~inside, F.col("value")).alias("value"), F.when(inside, F.col("value")).alias("kept")
+    )
+    counted = rows.groupBy(*keys, "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("kept").alias("first"), F.max("kept").alias("last")
     )
     return quartiles, counted, keys
@@ -274,22 +219,22 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Dat
     """
     quartiles, counted, keys = _fenced(df, cols, by)
     outside = F.col("value").isNotNull()
-    ends = counted.groupBy(*keys, "variable").agg(
+    ends = counted.groupBy(*keys).agg(
         F.min("first").alias("whisker_low"),
         F.max("last").alias("whisker_high"),
         F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outlier_rows"),
         count_where(outside).alias("outlier_values"),
     )
-    found = join_group(ends, quartiles, [*keys, "variable"])
+    found = join_group(ends, quartiles, keys)
     return found.select(
-        *by, "variable", "q1", "median", "q3", "whisker_low", "whisker_high", "outlier_rows", "outlier_values"
+        *keys, "q1", "median", "q3", "whisker_low", "whisker_high", "outlier_rows", "outlier_values"
     )
 
 
 def box_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """The distinct values outside the whiskers, with their row counts."""
-    _, counted, _ = _fenced(df, cols, by)
-    return counted.where("value IS NOT NULL").select(*by, "variable", "value", "n")
+    _, counted, keys = _fenced(df, cols, by)
+    return counted.where("value IS NOT NULL").select(*keys, "value", "n")
 
 
 def average_ranks(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,9 @@ LEVELS = 5
 
 
 def top_level(first: Column, last: Column) -> Column:
-    """The widest level that an interval of buckets first..last can use."""
-    length = last - first + 1
-    level = F.lit(0)
-    for i in range(1, LEVELS):
-        level = F.when(length >= FACTOR**i, i).otherwise(level)
-    return level
+    """The widest level that an interval of buckets first..last can use, or one above."""
+    level = F.floor(F.log2(last - first + 1) / F.lit(math.log2(FACTOR)) + F.lit(1e-9))
+    return F.least(level, F.lit(LEVELS - 1)).cast("int")
 
 
 def _named(level: int, bucket: Column) -> Column:
@@ -47,18 +46,24 @@ def cover(first: Column, last: Column) -> Column:
         made = F.sequence(_named(level, low), _named(level, high))
         return F.when(low <= high, made).otherwise(F.array().cast("array<bigint>"))
 
-    parts = []
-    for level in range(LEVELS):
-        low, high = up(first, level), down(last, level)
-        if level == LEVELS - 1:
-            parts.append(blocks(level, low, high))
-            continue
-        inner_low, inner_high = up(first, level + 1) * FACTOR, (down(last, level + 1) + 1) * FACTOR - 1
-        split = inner_low <= inner_high
-        parts.append(blocks(level, low, F.when(split, inner_low - 1).otherwise(high)))
-        parts.append(F.when(split, blocks(level, inner_high + 1, high)).otherwise(F.array().cast("array<bigint>")))
-    # No aligned run of FACTOR buckets fits: the usual case, and a plain sequence.
-    return F.when(last - first + 1 < FACTOR, blocks(0, first, last)).otherwise(F.concat(*parts))
+    def tiles(first: Column, last: Column) -> Column:
+        parts = []
+        for level in range(LEVELS):
+            low, high = up(first, level), down(last, level)
+            if level == LEVELS - 1:
+                parts.append(blocks(level, low, high))
+                continue
+            inner_low, inner_high = up(first, level + 1) * FACTOR, (down(last, level + 1) + 1) * FACTOR - 1
+            split = inner_low <= inner_high
+            parts.append(blocks(level, low, F.when(split, inner_low - 1).otherwise(high)))
+            parts.append(F.when(split, blocks(level, inner_high + 1, high)).otherwise(F.array().cast("array<bigint>")))
+        return F.concat(*parts)
+
+    # Usually no aligned run of FACTOR buckets fits, and a plain sequence will do.  The rest is
+    # in a lambda, which keeps its code out of the stage's: a method that large isn't compiled.
+    ends = F.array(F.struct(first.alias("first"), last.alias("last")))
+    long = F.flatten(F.transform(ends, lambda s: tiles(s["first"], s["last"])))
+    return F.when(last - first + 1 < FACTOR, blocks(0, first, last)).otherwise(long)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -105,8 +110,8 @@ def interval_join(
         "*", F.explode(cover(first, last)).alias("_bucket")
     )
     levels = (
-        some.select(top_level(first, last).alias("_top"), F.explode(F.array_distinct(F.col(keys))).alias("_of"))
-        .where("_top > 0")
+        some.where(last - first + 1 >= FACTOR)
+        .select(top_level(first, last).alias("_top"), F.explode(F.array_distinct(F.col(keys))).alias("_of"))
         .groupBy("_of")
         .agg(F.max("_top").alias("_top"))
     )
