@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from rackline.sources.tables import shared_folder
 
+
 def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme that Spark itself would give it, for readers that don't know Spark's default."""
+    """``path`` as a URI with the scheme that Spark itself would give it, for readers that don't know Spark's default."""
     fs, where = _file_system(spark, path)
-    return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    return where.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().toASCIIString()
 
 
 class Workspace:

@@ -54,6 +54,38 @@ def test_page_0_is_the_response_of_revisits(spark):
     assert sorted(got) == sorted(expected(rows)) and (1, "revisit", 0) in {(x[0], x[3], x[4]) for x in got}
 
 
+def test_null_page_id_and_payloads_beyond_a_read(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 10)
+    big = "<p>" + "".join(chr(97 + i * i % 23) for i in range(200_000))
+    rows = [(None, "http://x/n", big, 1), (2, "http://x/2", big, 1), (5, "http://x/5", big, 1), (None, None, None, 1)]
+    back = warc.archive_pages(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    digest = hashlib.sha256(big.encode()).hexdigest()
+    got = {(r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in back}
+    assert got == {
+        (None, "http://x/n", len(big), "response", None),
+        (2, "http://x/2", len(big), "response", None),
+        (5, "http://x/5", len(big), "revisit", 2),
+        (None, "about:blank", 0, "response", None),
+    }
+    assert all(r.payload_digest == digest for r in back if r.payload_bytes)
+    assert all(r.payload == big.encode() for r in back if r.payload_bytes and r.record_type == "response")
+
+
+def test_packages_lie_in_sparks_own_file_system(spark, tmp_path):
+    folder = warc.package_folder(spark, f"{tmp_path}/a folder/ä")
+    where, root = warc.fs.FileSystem.from_uri(folder)
+    assert folder.startswith("file:///") and root == f"{tmp_path}/a folder/ä"
+    assert warc.package_folder(spark, f"file:{tmp_path}/x") == warc.package_folder(spark, f"{tmp_path}/x")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    conf.set("fs.viewfs.mounttable.shared.link./jobs", f"file:{tmp_path}")
+    try:
+        assert warc.package_folder(spark, "/jobs/packages") == "viewfs://shared/jobs/packages"
+    finally:
+        conf.set("fs.defaultFS", "file:///")
+        conf.unset("fs.viewfs.mounttable.shared.link./jobs")
+
+
 def test_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
 
