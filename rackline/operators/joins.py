@@ -24,9 +24,14 @@ def top_level(first: Column, last: Column) -> Column:
     return F.least(level, F.lit(LEVELS - 1)).cast("int")
 
 
-def _named(level: int, bucket: Column) -> Column:
+def _width(level: Column) -> Column:
+    """Base buckets in a bucket of the level; FACTOR is a power of two."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level * F.lit(FACTOR.bit_length() - 1))
+
+
+def _named(level: Column, bucket: Column) -> Column:
     """One number for a bucket of a level; buckets are far fewer than 2^39."""
-    return bucket + F.lit(level << 40)
+    return bucket + level.cast("long") * F.lit(1 << 40)
 
 
 def cover(first: Column, last: Column) -> Column:
@@ -36,34 +41,24 @@ def cover(first: Column, last: Column) -> Column:
     takes up to 2 * (FACTOR - 1) buckets of each level, not one for each base bucket.
     """
 
-    def up(x: Column, level: int) -> Column:
-        return F.ceil(x / F.lit(FACTOR**level))
-
-    def down(x: Column, level: int) -> Column:
-        return F.floor((x + 1) / F.lit(FACTOR**level)) - 1
-
-    def blocks(level: int, low: Column, high: Column) -> Column:
+    def blocks(level: Column, low: Column, high: Column) -> Column:
         made = F.sequence(_named(level, low), _named(level, high))
         return F.when(low <= high, made).otherwise(F.array().cast("array<bigint>"))
 
-    def tiles(first: Column, last: Column) -> Column:
-        parts = []
-        for level in range(LEVELS):
-            low, high = up(first, level), down(last, level)
-            if level == LEVELS - 1:
-                parts.append(blocks(level, low, high))
-                continue
-            inner_low, inner_high = up(first, level + 1) * FACTOR, (down(last, level + 1) + 1) * FACTOR - 1
-            split = inner_low <= inner_high
-            parts.append(blocks(level, low, F.when(split, inner_low - 1).otherwise(high)))
-            parts.append(F.when(split, blocks(level, inner_high + 1, high)).otherwise(F.array().cast("array<bigint>")))
-        return F.concat(*parts)
-
-    # Usually no aligned run of FACTOR buckets fits, and a plain sequence will do.  The rest is
-    # in a lambda, which keeps its code out of the stage's: a method that large isn't compiled.
-    ends = F.array(F.struct(first.alias("first"), last.alias("last")))
-    long = F.flatten(F.transform(ends, lambda s: tiles(s["first"], s["last"])))
-    return F.when(last - first + 1 < FACTOR, blocks(0, first, last)).otherwise(long)
+    def tiles(level: Column) -> Column:
+        """What of the interval is left to buckets of this level: its ends, outside the next level's."""
+        width, wide = _width(level), _width(level + 1)
+        low, high = F.ceil(first / width), F.floor((last + 1) / width) - 1
+        inner_low, inner_high = F.ceil(first / wide) * FACTOR, F.floor((last + 1) / wide) * FACTOR - 1
+        split = (level < LEVELS - 1) & (inner_low <= inner_high)
+        return F.concat(
+            blocks(level, low, F.when(split, inner_low - 1).otherwise(high)),
+            F.when(split, blocks(level, inner_high + 1, high)).otherwise(F.array().cast("array<bigint>")),
+        )
+
+    # Usually no aligned run of FACTOR buckets fits, and a plain sequence will do.
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    return F.when(last - first + 1 < FACTOR, F.sequence(first, last)).otherwise(F.flatten(F.transform(levels, tiles)))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -117,10 +112,11 @@ def interval_join(
     )
     at = F.floor(epoch_seconds(F.col(ts)) / width)
 
-    places = F.array(*[_named(i, F.floor(F.col("_at") / F.lit(FACTOR**i))) for i in range(LEVELS)])
     leveled = points.withColumn("_at", at).join(levels, F.col(key) == F.col("_of"), "left")
-    mine = F.slice(places, F.lit(1), F.coalesce(F.col("_top"), F.lit(0)) + 1)
-    bucketed = leveled.select(*points.columns, F.explode(mine).alias("_point_bucket"))
+    of_key = F.sequence(F.lit(0), F.coalesce(F.col("_top"), F.lit(0)))
+    place = _named(F.col("_level"), F.floor(F.col("_at") / _width(F.col("_level"))))
+    bucketed = leveled.select(*points.columns, "_at", F.explode(of_key).alias("_level"))
+    bucketed = bucketed.select(*points.columns, place.alias("_point_bucket"))
     return bucketed.join(
         exploded,
         (F.col(key) == F.col("_key"))
