@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rackline.sources.tables import shared_folder
+from rackline.sources.tables import shared_folder, written
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -36,6 +36,8 @@ class Workspace:
         return f"{self.folder}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        for observer in written:
+            observer(df)
         df.write.mode("overwrite").parquet(self.path(name))
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
         return self.spark.read.schema(schema).parquet(self.path(name))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from fixtures import docs, empty, odd
+from pyspark.sql import functions as F
 
 from rackline.llm import substrings
 from rackline.llm.suffixes import grouped_suffix_array
@@ -74,3 +75,10 @@ def test_odd_rows_and_empty_table(spark):
     table = odd(spark)
     assert run(table) == brute([r.text for r in table.collect()])
     assert run(empty(spark)) == []
+
+
+def test_clashing_columns(spark):
+    table = docs(spark, texts())
+    for name in ("uid", "spans", "n_bytes", "kept", "h", "contexts"):
+        table = table.withColumn(name, F.lit("mine"))
+    assert run(table) == brute(texts())

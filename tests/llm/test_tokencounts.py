@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from fixtures import docs, empty, odd
+from pyspark.sql import functions as F
 
 from rackline.llm import tokencounts as tc
 
@@ -17,6 +18,16 @@ def encoding():
     return tiktoken.Encoding("t", pat_str=HOW.pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_clashing_columns(spark, tmp_path, encoding):
+    table = docs(spark, ["one two", "three", None])
+    for name in ("tokens", "sign", "version", "documents"):
+        table = table.withColumn(name, F.lit("mine"))
+    rollup = tc.TokenRollup(spark, str(tmp_path / "r"))
+    assert rollup.commit("b1", tc.inserts(tc.count_tokens(table, HOW)))
+    tokens = sum(len(encoding.encode_ordinary(t)) for t in ("one two", "three"))
+    assert sums(rollup, ["b1"]) == {("s", "en", "v1"): (3, tokens)}
+
+
 def sums(rollup, batches):
     return {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in rollup.totals(batches).collect()}
 

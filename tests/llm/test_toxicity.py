@@ -6,7 +6,7 @@ from fixtures import docs, empty, odd
 from pyspark.sql import functions as F
 
 from rackline.llm import toxicity
-from rackline.llm.network import Network, sigmoid
+from rackline.llm.network import BUCKETS, GRAMS, HIDDEN, Network, sigmoid
 
 FAST = toxicity.Settings(epochs=4, sample=200)
 
@@ -83,6 +83,54 @@ def test_scores_do_not_depend_on_the_batch(network):
     assert together == pytest.approx(alone, abs=1e-5)
 
 
+def plain_vector(network, word):
+    """A word's own vector, and the mean of those of its character n-grams, one at a time."""
+    marked, vectors = b"^" + word + b"$", []
+    for n in GRAMS:
+        for i in range(len(marked) - n + 1):
+            value = n
+            for byte in marked[i : i + n]:
+                value = (value * 0x100000001B3 % 2**64) ^ byte
+            vectors.append(network.p["gram"][(value ^ (value >> 29)) % BUCKETS].astype(float))
+    return np.concatenate((network.p["word"][network.words.get(word, 0)].astype(float), np.mean(vectors, axis=0)))
+
+
+def plain_states(p, side, vectors):
+    h, states = np.zeros(HIDDEN), []
+    for x in vectors:
+        gates, back = x @ p["W" + side] + p["d" + side], h @ p["U" + side]
+        z = 1 / (1 + np.exp(-(gates[:HIDDEN] + back[:HIDDEN])))
+        r = 1 / (1 + np.exp(-(gates[HIDDEN : 2 * HIDDEN] + back[HIDDEN : 2 * HIDDEN])))
+        new = np.tanh(gates[2 * HIDDEN :] + r * back[2 * HIDDEN :])
+        h = (1 - z) * new + z * h
+        states.append(h)
+    return states
+
+
+def plain_score(network, text):
+    """The largest score of any window, each by itself, step by step, in doubles."""
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    vectors = [plain_vector(network, w) for w in toxicity.plain(text).split()]
+    logits = []
+    for row in toxicity.window_rows(len(vectors), FAST):
+        inside = [vectors[i] for i in row if i >= 0]
+        if not inside:
+            logits.append(p["c"][0])
+            continue
+        ahead, back = plain_states(p, "f", inside), plain_states(p, "b", inside[::-1])[::-1]
+        states = [np.concatenate(pair) for pair in zip(ahead, back, strict=True)]
+        weight = np.exp([np.tanh(s @ p["A"] + p["a"]) @ p["v"] for s in states])
+        pooled = sum(w * s for w, s in zip(weight / weight.sum(), states, strict=True))
+        logits.append(pooled @ p["w"] + p["c"][0])
+    return 1 / (1 + np.exp(-max(logits)))
+
+
+def test_scores_equal_a_plain_reference(network):
+    texts = [t for t, _ in corpus(5, 12)] + [None, "", "?!", "moloch", "Ünï çödé", " ".join(t for t, _ in corpus(6, 3))]
+    scores = toxicity.score_texts(network, texts, FAST)
+    assert scores == pytest.approx([plain_score(network, t) for t in texts], abs=1e-4)
+
+
 @pytest.mark.parametrize("rows", [[], [("a b", 1)], [("a b", 0)], [("", 0), ("", 1)]])
 def test_training_on_next_to_nothing(rows):
     scores = toxicity.score_texts(toxicity.train(rows, FAST), ["a", ""], FAST)
