@@ -12,7 +12,7 @@ from rackline.sources import tables
 #: Queries that pair no sample with a job.
 UNPAIRED = ()
 #: Queries that return pairs, which they neither write nor shuffle.
-STREAMED = ("concurrent_jobs",)
+STREAMED = ("concurrent_jobs", "high_load_rows",)
 
 
 @pytest.fixture(scope="module")
