@@ -12,7 +12,7 @@ from rackline.sources import tables
 #: Queries that pair no sample with a job.
 UNPAIRED = ("peer_pairs", "peer_state_corr", "peer_state_corr_diff", "peer_state_corr_triangle",)
 #: Queries that return pairs, which they neither write nor shuffle.
-STREAMED = ("concurrent_jobs", "high_load_rows",)
+STREAMED = ("concurrent_jobs", "high_load_rows", "peer_state_counts",)
 
 
 @pytest.fixture(scope="module")
