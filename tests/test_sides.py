@@ -10,7 +10,7 @@ from rackline.plans import energy, integration, peers
 from rackline.sources import tables
 
 #: Queries that pair no sample with a job.
-UNPAIRED = ("peer_pairs", "peer_state_corr", "peer_state_corr_diff", "peer_state_corr_triangle", "runtime_by_class_state", "submissions_by_class_state",)
+UNPAIRED = ("peer_pairs", "peer_state_corr", "peer_state_corr_diff", "peer_state_corr_triangle", "runtime_by_class_state", "submissions_by_class_state", "state_counts_pivot",)
 #: Queries that return pairs, which they neither write nor shuffle.
 STREAMED = ("concurrent_jobs", "high_load_rows", "peer_state_counts",)
 
