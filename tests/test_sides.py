@@ -70,3 +70,10 @@ def test_joined_rows_are_not_stored(spark, base, name):
     assert plans
     assert not [p for p in plans if "_point_bucket" in p]
     assert ("_point_bucket" in plan) == (name in STREAMED)
+
+
+def test_pairs_are_listed_without_work_on_each(spark, base):
+    plan = REGISTRY["interval_join_pairs"](spark, base)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "round(" not in above and "timestampdiff" not in above.lower() and "size(" not in above
+    assert "round(" in plan and "timestampdiff" in plan.lower()
