@@ -129,7 +129,9 @@ def row_ranks(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Pearson correlation of average ranks over the complete rows; ``key`` identifies a row."""
-    ranks = row_ranks(_complete(df, cols, key), key)
+    # Moved as narrow rows: a row's ranks lie in as many places as it has columns, so lists
+    # made before the shuffle would have one entry each, at several times the size.
+    ranks = row_ranks(_complete(df, cols, key), key).repartition(*key)
     in_order = F.array_sort(F.collect_list(F.struct("variable", "rank")))
     wide = ranks.groupBy(*key).agg(F.transform(in_order, lambda s: s["rank"]).alias("v"))
     return _matrix(wide, list(cols))

@@ -212,3 +212,18 @@ def test_row_ranks_of_a_value_over_many_segments(spark):
     for variable, sign in ((0, 1), (1, -1)):
         want = (sign * pd.Series(values)).rank()
         assert [got[i, variable] for i in range(1000)] == list(want)
+
+
+def test_ranks_move_before_they_are_put_into_lists(spark):
+    from rackline.sources import tables
+
+    frame = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(50)], "id int, x double, y double")
+    plans = []
+    tables.written.append(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()))
+    try:
+        assert correlation.spearman_matrix(frame, ["x", "y"], ["id"]).count() == 4
+    finally:
+        tables.written.clear()
+    (plan,) = [p for p in plans if "partial_collect_list" in p]
+    between = plan[: plan.index("partial_collect_list")]
+    assert "Exchange" not in between[between.index("functions=[collect_list") :]
