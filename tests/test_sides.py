@@ -77,3 +77,16 @@ def test_pairs_are_listed_without_work_on_each(spark, base):
     above = plan[: plan.index("Join Inner")]
     assert "round(" not in above and "timestampdiff" not in above.lower() and "size(" not in above
     assert "round(" in plan and "timestampdiff" in plan.lower()
+
+
+def test_a_stored_count_is_that_of_the_joined_rows(both):
+    sides, joined = both
+    counted = tables.materialise(integration.with_concurrency(sides))
+    _same(energy.job_nodes(counted), energy.job_nodes(joined))
+
+
+def test_joined_rows_are_not_shuffled_once_they_are_stored(spark, base):
+    with tables.intermediate_tables(spark):
+        result = REGISTRY["named_tables"](spark, base)
+        assert "Join" not in result._jdf.queryExecution().optimizedPlan().toString()
+        assert result.collect()
