@@ -102,7 +102,7 @@ def _writes(spark, base, name, monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("name", ["joined_written"])
+@pytest.mark.parametrize("name", ["joined_written", "energy_from_joined", "named_tables"])
 def test_pairs_are_written_as_they_are_made(spark, base, name, monkeypatch):
     plans = _writes(spark, base, name, monkeypatch)
     assert len(plans) == 1
