@@ -54,7 +54,7 @@ def _above_the_join(spark, base, name):
     return plan[: plan.index("Join Inner")]
 
 
-@pytest.mark.parametrize("name", ["concurrent_jobs", "high_load_rows"])
+@pytest.mark.parametrize("name", ["concurrent_jobs", "high_load_rows", "peer_state_counts"])
 def test_what_one_side_has_is_made_once_not_for_each_pair(spark, base, name):
     above = _above_the_join(spark, base, name)
     assert "inline(_intervals" in above
